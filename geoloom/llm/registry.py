@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from geoloom.llm import bpe_codec, mixture_packing
+from geoloom.llm import bpe_codec, mixture_packing, recompression
 
 
 def queries() -> dict:
     return {
         "op2_mixture_packing": mixture_packing.op2_mixture_packing,
         "op3_byte_bpe": bpe_codec.op3_byte_bpe,
+        "op7_recompression": recompression.op7_recompression,
     }
 
 
