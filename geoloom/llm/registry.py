@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.llm import bpe_codec, jaccard_join, mixture_packing, recompression
+from geoloom.llm import bpe_codec, jaccard_join, mixture_packing, recompression, toxicity_knn
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_mixture_packing": mixture_packing.op2_mixture_packing,
         "op3_byte_bpe": bpe_codec.op3_byte_bpe,
         "op7_recompression": recompression.op7_recompression,
+        "op8_toxicity_knn": toxicity_knn.op8_toxicity_knn,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     }
 
