@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from geoloom.llm import bpe_codec, jaccard_join, mixture_packing, recompression, toxicity_knn
+from geoloom.llm import bpe_codec, jaccard_join, line_frequency, mixture_packing, recompression, toxicity_knn
 
 
 def queries() -> dict:
     return {
         "op2_mixture_packing": mixture_packing.op2_mixture_packing,
         "op3_byte_bpe": bpe_codec.op3_byte_bpe,
+        "op6_line_frequency": line_frequency.op6_line_frequency,
         "op7_recompression": recompression.op7_recompression,
         "op8_toxicity_knn": toxicity_knn.op8_toxicity_knn,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op6_line_frequency": line_frequency.SQL}
