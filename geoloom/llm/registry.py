@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from geoloom.llm import bpe_codec, jaccard_join, line_frequency, mixture_packing, recompression, toxicity_knn
+from geoloom.llm import bpe_codec, jaccard_join, line_frequency, mixture_packing, recompression, secret_scan, toxicity_knn
 
 
 def queries() -> dict:
     return {
         "op2_mixture_packing": mixture_packing.op2_mixture_packing,
         "op3_byte_bpe": bpe_codec.op3_byte_bpe,
+        "op4_secret_scan": secret_scan.op4_secret_scan,
         "op6_line_frequency": line_frequency.op6_line_frequency,
         "op7_recompression": recompression.op7_recompression,
         "op8_toxicity_knn": toxicity_knn.op8_toxicity_knn,
