@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from geoloom.llm import bpe_codec, jaccard_join, line_frequency, mixture_packing, recompression, secret_scan, toxicity_knn
+from geoloom.llm import bpe_codec, jaccard_join, line_frequency, media_sniff, mixture_packing, recompression, secret_scan, toxicity_knn
 
 
 def queries() -> dict:
     return {
+        "op1_media_sniff": media_sniff.op1_media_sniff,
         "op2_mixture_packing": mixture_packing.op2_mixture_packing,
         "op3_byte_bpe": bpe_codec.op3_byte_bpe,
         "op4_secret_scan": secret_scan.op4_secret_scan,
