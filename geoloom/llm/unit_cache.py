@@ -18,7 +18,7 @@ _CUT = re.compile(r" (?=[\w!-~])")
 class UnitCache:
     """encode(list of strings) gives the ids of each as bytes; limit bounds the units kept between batches."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], encode_units: Callable[[list[str]], list[bytes]] | None = None, limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], encode_units: Callable[[list[str]], list[bytes]] | None = None, limit: int = 800_000):
         self.encode, self.limit = encode, limit
         self.encode_units = encode_units or (lambda units: encode([" " + u for u in units]))
         self.kept: dict[str, bytes] = {}
