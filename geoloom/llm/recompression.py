@@ -7,7 +7,7 @@ at their ends. For each symbol the words that its parse depends on (its context)
 known, not guessed, which symbols any other place with the same window of words must show as well.
 
 Each window of `window` words is represented by one symbol whose context lies inside it: of the highest
-level there is, then the least by name. Equal windows have equal representatives. So:
+level there is, then the longest, then the least by name. Equal windows have equal representatives. So:
  round 1  count the representatives over all documents; a window whose representative occurs once
           in all the input is unique;
  round 2  of the windows left, count the word sequences themselves (128-bit hashes), which verifies
@@ -41,8 +41,6 @@ LEAST_CHUNKS, ROWS_PER_CHUNK = 256, 128
 _WORD = common.RollingHash(0xA11CE)
 _EXACT = (common.RollingHash(0xB0B), common.RollingHash(0xCAFE))
 
-_REPORT = "doc_id long, n_words long, n_removed long, kept_text string"
-_DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 class Level:
@@ -126,8 +124,10 @@ def representatives(h: np.ndarray, bounds: np.ndarray, window: int, rounds: int)
             break
         width = level.hi - level.lo
         ok = np.flatnonzero((width <= window) & (level.lo >= 0) & (level.hi <= total))
-        # the level takes the name's two highest bits, so that representatives of different levels never meet
-        name = (level.name[ok] >> U(2)) | U(rank << 62)
+        # the level takes the three highest bits, so that representatives of different levels never meet; then longer
+        # symbols come first, as they are rarer
+        long = np.minimum(np.diff(np.append(level.start, total))[ok], 31).astype(np.uint64)
+        name = (level.name[ok] >> U(8)) | ((U(31) - long) << U(56)) | U(rank << 61)
         first, last = np.maximum(level.hi[ok] - window, 0), level.lo[ok]
         here = _least(name, first, last, total)
         use = open_ & (here != ~U(0))
@@ -319,7 +319,8 @@ def _apply(docs: DataFrame, window: int, rounds: int, digest: bool) -> DataFrame
     docs, _ = chunked(docs)
     names = docs.select("chunk", "text").mapInArrow(_names(window, rounds), "name long, chunk int, n int")
     once = common.materialise(names.groupBy("name").agg(F.sum("n").alias("n"), F.min("chunk").alias("chunk")).where("n = 1").select("name", "chunk"), "names")
-    sequences = docs.select("chunk", "text").groupBy("chunk").cogroup(once.groupBy("chunk")).applyInArrow(_sequences(window, rounds), "a long, b long, chunk int, n int")
+    # both passes over the chunks read the same columns, so that Spark deals the texts out once
+    sequences = docs.groupBy("chunk").cogroup(once.groupBy("chunk")).applyInArrow(_sequences(window, rounds), "a long, b long, chunk int, n int")
     single = sequences.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("chunk").alias("chunk")).where("n = 1").select("a", "b", "chunk")
     both = once.select(F.col("name").alias("a"), F.lit(None).cast("long").alias("b"), "chunk").unionByName(single)
     added = ["n_words", "n_removed", "kept_sha256" if digest else "kept_text"]
