@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.llm import bpe_codec, jaccard_join, line_frequency, media_sniff, mixture_packing, pii_weak, recompression, secret_scan, toxicity_knn
+from geoloom.llm import bpe_codec, jaccard_join, line_frequency, media_sniff, mixture_packing, pii_weak, recompression, secret_scan, toxicity_knn, warc_derivatives
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_recompression": recompression.op7_recompression,
         "op8_toxicity_knn": toxicity_knn.op8_toxicity_knn,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+        "op10_warc_derivatives": warc_derivatives.op10_warc_derivatives,
     }
 
 
