@@ -1,11 +1,50 @@
-"""The corpus pipeline: stages that are applied to documents one after another."""
+"""The corpus pipeline: documents without toxic ones, near duplicates, repeated passages and secrets, packed.
+
+STAGES are applied one after another, each to all that the one before has kept. Each takes (spark, docs, sf_dir)
+and returns a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from geoloom.llm import common, jaccard_join, mixture_packing, recompression, secret_scan, toxicity_knn
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return toxicity_knn.reject(docs, common.table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in passages that stand elsewhere too go."""
+    return recompression.without_repeats(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked."""
+    return secret_scan.redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of the documents' ids, mixed as the sources are."""
+    return mixture_packing.pack(docs)
+
+
+STAGES = [("toxicity", toxicity), ("jaccard_join", near_duplicates), ("substring_dedup", substrings), ("secret_scan", secrets), ("packing", packing)]
+
+#: SQL can't express the stages; the tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, from documents to pieces of sequences."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

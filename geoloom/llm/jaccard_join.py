@@ -370,6 +370,18 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, epsilon: float = EPSILON
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies_id", "doc_id").alias("copies_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all columns, with one row of each class: that of the least doc_id. Rows without a doc_id stay."""
+    classes = common.materialise(join(docs, threshold).select("doc_id", "class_id"), "joined")
+    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    out = docs.join(common.broadcast_if_small(gone, gone.count(), MAX_CANDIDATES), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    repeated = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
+    if repeated.limit(1).count():  # equal rows have one doc_id
+        many = out.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(many).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents"))
 

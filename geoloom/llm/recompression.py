@@ -266,7 +266,7 @@ def _distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[first], np.diff(np.append(first, len(pairs)))
 
 
-def _remove(window: int, rounds: int, digest: bool, names: list[str]):
+def _remove(window: int, rounds: int, form: str, names: list[str]):
     def run(docs: pa.Table, once: pa.Table) -> pa.Table:
         kind = np.asarray(once.column("b").is_null()) if len(once) else np.zeros(0, bool)
         unique = np.sort(_unsigned(once.column("a").filter(pa.array(kind))))
@@ -296,7 +296,13 @@ def _remove(window: int, rounds: int, digest: bool, names: list[str]):
             removed = before[w.bounds[1:]] - before[w.bounds[:-1]]
             out[0] += np.diff(w.bounds).tolist()
             out[1] += removed.tolist()
-            out[2] += [hashlib.sha256(k).hexdigest() for k in kept] if digest else [k.decode("utf-8", "replace") for k in kept]
+            if form == "digest":
+                out[2] += [hashlib.sha256(k).hexdigest() for k in kept]
+            elif form == "text":
+                out[2] += [k.decode("utf-8", "replace") for k in kept]
+            else:  # what nothing is removed from stays as it is
+                old = part.column(part.schema.get_field_index("text")).to_pylist()
+                out[2] += [k.decode("utf-8", "replace") if n else t for k, n, t in zip(kept, removed.tolist(), old, strict=True)]
             extra.append(pa.Table.from_batches([part]))
         docs = pa.concat_tables(extra) if extra else docs.slice(0, 0)
         keep = docs.drop_columns([c for c in ("chunk", "text") if c in docs.column_names])
@@ -314,8 +320,11 @@ def chunked(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
     return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")), n
 
 
-def _apply(docs: DataFrame, window: int, rounds: int, digest: bool) -> DataFrame:
-    """docs: the columns to keep, and text. Removes as remove_repeats() says."""
+def _apply(docs: DataFrame, window: int, rounds: int, form: str) -> DataFrame:
+    """docs: the columns to keep, and text. Removes as remove_repeats() says.
+
+    form: "text" adds kept_text, "digest" kept_sha256, "replace" kept_text with white space as it was where no word went.
+    """
     docs, _ = chunked(docs)
     names = docs.select("chunk", "text").mapInArrow(_names(window, rounds), "name long, chunk int, n int")
     once = common.materialise(names.groupBy("name").agg(F.sum("n").alias("n"), F.min("chunk").alias("chunk")).where("n = 1").select("name", "chunk"), "names")
@@ -323,10 +332,10 @@ def _apply(docs: DataFrame, window: int, rounds: int, digest: bool) -> DataFrame
     sequences = docs.groupBy("chunk").cogroup(once.groupBy("chunk")).applyInArrow(_sequences(window, rounds), "a long, b long, chunk int, n int")
     single = sequences.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("chunk").alias("chunk")).where("n = 1").select("a", "b", "chunk")
     both = once.select(F.col("name").alias("a"), F.lit(None).cast("long").alias("b"), "chunk").unionByName(single)
-    added = ["n_words", "n_removed", "kept_sha256" if digest else "kept_text"]
+    added = ["n_words", "n_removed", "kept_sha256" if form == "digest" else "kept_text"]
     kept = [f for f in docs.schema.fields if f.name not in ("chunk", "text")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{added[0]} long", f"{added[1]} long", f"{added[2]} string"])
-    return docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_remove(window, rounds, digest, added), schema)
+    return docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_remove(window, rounds, form, added), schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -337,12 +346,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     words; repeated rows are documents of their own, so they repeat each other; without rows the result is empty.
     Other columns of docs are not read.
     """
-    return _apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text")), window, rounds, False)
+    return _apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text")), window, rounds, "text")
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+    """docs, all columns, with repeats removed from text; rows that no word is left of go, n_chars (if any) is counted anew."""
+    named = docs.select(*(F.col(f"`{c}`").alias(f"_{c}") for c in docs.columns if c != "text"), F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"))
+    out = _apply(named, window, rounds, "replace").where("n_words = 0 or n_removed < n_words")
+    made = {"text": F.col("kept_text")} | ({"n_chars": F.char_length("kept_text").cast("long")} if "n_chars" in docs.columns else {})
+    return out.select(*(made.get(c, F.col(f"`_{c}`")).alias(c) for c in docs.columns))
 
 
 def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    return _apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text")), WINDOW, ROUNDS, True)
+    return _apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text")), WINDOW, ROUNDS, "digest")
 
 
 def brute_force(texts: list[str], window: int = WINDOW) -> list[tuple[int, int, str]]:

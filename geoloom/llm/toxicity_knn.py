@@ -253,5 +253,18 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataF
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
+def reject(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
+    """docs, all columns, without the rows whose score reaches THRESHOLD."""
+    index = fit(docs, labels, examples)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch):
+                yield part.filter(pa.array([index.score(t or "")[0] < THRESHOLD for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
