@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+from geoloom.plans import columns, entities, extraction, grid, pages
+from geoloom.plans.columns import flagship
 
+_MODULES = (columns, grid, entities, extraction, pages)
 
-def queries() -> dict:
-    return {}
+__all__ = ["flagship", "oracle_sql", "queries"]
 
 
-def oracle_sql() -> dict:
-    return {}
+def queries() -> dict[str, Callable]:
+    return {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
