@@ -1,4 +1,334 @@
+"""Pages: addresses, links, nodes, JSON, files about sites, progress of jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from geoloom.functions import urls
+from geoloom.operators import dom_extract, frontier, html, json_extract
 from geoloom.plans.catalog import Catalog
+from geoloom.plans.fixtures import Rows, read
+from geoloom.sources import readers
+from geoloom.streaming import jobs
 
 _C = Catalog()
 QUERIES, SQL = _C.queries, _C.sql
+
+_SUFFIX = "CASE page_id % 8 WHEN 0 THEN '/contact-us/' WHEN 1 THEN '/locations/' WHEN 2 THEN '/global-offices/' WHEN 3 THEN '/about/' WHEN 4 THEN '/company/' WHEN 5 THEN '/investors/' WHEN 6 THEN '/locations' ELSE '/x.pdf' END"
+_SITES = f"(SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || {_SUFFIX} AS url FROM pages)"
+
+
+def _sites(spark, sf_dir):
+    return read(spark, sf_dir, "pages").selectExpr("page_id", f"regexp_extract(url, '^(https?://[^/?#]+)', 1) || {_SUFFIX} AS url")
+
+
+_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(lower(url), '{p}') THEN {{'t': '{t}', 'c': {float(c)}, 'p': {urls.PRIORITY[t]}}}" for p, t, c in urls.CLASSES) + " ELSE {'t': 'general', 'c': 0.5, 'p': 4} END"
+
+
+@_C.add(f"SELECT page_id, c.t AS type, CAST(c.c AS DOUBLE) AS confidence, CAST(c.p AS INT) AS priority, CASE WHEN c.p = 1 AND c.c >= 0.85 THEN 45000 WHEN c.p <= 2 AND c.c >= 0.7 THEN 30000 ELSE 20000 END AS timeout FROM (SELECT page_id, {_CLASS} AS c FROM {_SITES} s) q")
+def page_classify_url(spark, sf_dir):
+    c = _sites(spark, sf_dir).select("page_id", urls.page_class(F.col("url")).alias("c"))
+    return c.select("page_id", "c.type", "c.confidence", "c.priority", urls.strategy(F.col("c.priority"), F.col("c.confidence"))["timeout"].alias("timeout"))
+
+
+_P = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
+_EXCLUDED = "(regexp_matches(lower(url), '(" + "|".join(e.replace(".", "\\.") for e in urls.FILES) + ")$') OR " + " OR ".join(f"contains(lower(url), '{p}')" for p in urls.PATHS) + ")"
+
+
+@_C.add(f"SELECT page_id, {_EXCLUDED} AS excluded, regexp_matches(lower(url), '\\.pdf$|\\.pdf\\?|/pdf/') AS pdf, {_P} IN ('', '/') AS homepage, regexp_extract(url, '^(https?://[^/?#]+)', 1) || CASE WHEN {_P} = '' THEN '/' ELSE {_P} END AS clean FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, url FROM {_SITES} s) q")
+def url_filters(spark, sf_dir):
+    u = F.col("url")
+    rows = read(spark, sf_dir, "pages").select("page_id", "url").unionByName(_sites(spark, sf_dir).withColumn("page_id", F.col("page_id") + 1000000))
+    return rows.select("page_id", urls.excluded(u).alias("excluded"), urls.is_pdf(u).alias("pdf"), urls.is_homepage(u).alias("homepage"), urls.clean(u).alias("clean"))
+
+
+@_C.add(f"SELECT page_id, CASE WHEN {' OR '.join(f'contains(lower(url), {chr(39)}{p}{chr(39)})' for p in urls.HIGH_PATHS)} THEN 0 WHEN {' OR '.join(f'contains(lower(url), {chr(39)}{p}{chr(39)})' for p in urls.MEDIUM_PATHS)} THEN 1 ELSE 2 END AS tier FROM {_SITES} s ORDER BY tier, page_id LIMIT 50")
+def crawl_order(spark, sf_dir):
+    return _sites(spark, sf_dir).withColumn("tier", urls.crawl_tier(F.col("url"))).orderBy("tier", "page_id").limit(50).select("page_id", "tier")
+
+
+_HREFS = "(SELECT page_id, url, i - 1 AS n, h[i] AS href FROM (SELECT page_id, url, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h, unnest(range(1, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) + 1)) AS i FROM pages) q)"
+_ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+_LINKS = f"SELECT DISTINCT page_id, regexp_replace({_ORIGIN} || href, '[?#].*$', '') AS link FROM {_HREFS} h WHERE href LIKE '/%'"
+
+
+def _links(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return dom_extract.link_table(html.nodes(pages)).join(pages.select("page_id", "url"), "page_id")
+
+
+@_C.add(f"SELECT page_id, link FROM ({_LINKS}) q WHERE NOT {_EXCLUDED.replace('url', 'link')}")
+def url_internal_links(spark, sf_dir):
+    return frontier.internal(_links(spark, sf_dir))
+
+
+@_C.add("SELECT page_id, count(*) AS links, count(DISTINCT href) AS targets FROM " + _HREFS + " h GROUP BY page_id")
+def page_links(spark, sf_dir):
+    return _links(spark, sf_dir).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("href").alias("targets"))
+
+
+def _seed(t: str) -> str:
+    return "SELECT page_id, i AS seq, " + _ORIGIN + " || s[i] AS link FROM (SELECT page_id, url, [" + ", ".join(f"'{p}'" for p in urls.SEEDS) + f"] AS s, unnest(range(1, {len(urls.SEEDS) + 1})) AS i FROM {t}) q"
+
+
+_PRIORITY = "CASE " + " ".join(f"WHEN regexp_matches(link, '{p}') THEN {n}" for p, n in urls.LINK_PRIORITY) + " ELSE 999 END"
+
+
+@_C.add(f"SELECT page_id, CAST(rank AS INT) AS rank, link FROM (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY {_PRIORITY}, seq) AS rank FROM ({_seed('pages')}) s) q WHERE rank <= 5")
+def page_priority_topk(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return frontier.candidates(pages, _links(spark, sf_dir).where("1 = 0"))
+
+
+_GRAPH = Rows("src string, dst string", ("a", "b"), ("a", "c"), ("b", "d"), ("d", "a"), ("d", "e"), ("e", "f"), ("f", "g"), ("x", "y"))
+
+
+@_C.add(f"WITH RECURSIVE w(url, depth) AS (SELECT 'a', 0 UNION SELECT g.dst, w.depth + 1 FROM w JOIN {_GRAPH.sql} g ON g.src = w.url WHERE w.depth < 3) SELECT url, CAST(min(depth) AS INT) AS depth FROM w GROUP BY url")
+def link_depth_bfs(spark, sf_dir):
+    return frontier.walk(_GRAPH.frame(spark), spark.createDataFrame([("a",)], "url string"), 3)
+
+
+_RESOLVE = Rows("id bigint, base string, link string", (1, "https://a.test/x/y.html", "z"), (2, "https://a.test/x/", "/q?p=1"), (3, "https://a.test", "//b.test/k"), (4, "https://a.test/a/b/c", "../d"), (5, "https://a.test/", "mailto:x@y.z"))
+
+
+@_C.add("SELECT CAST(id AS BIGINT) AS id, url FROM (VALUES (1, 'https://a.test/x/z'), (2, 'https://a.test/q?p=1'), (3, 'https://b.test/k'), (4, 'https://a.test/a/d'), (5, 'mailto:x@y.z')) v(id, url)")
+def url_resolve(spark, sf_dir):
+    return _RESOLVE.frame(spark).select("id", frontier.resolve("base", "link").alias("url"))
+
+
+@_C.add("SELECT page_id, CAST(len(regexp_extract_all(html, '<(p|div|article|h1|li|a|b|br|title)[ >]')) AS BIGINT) AS elements, trim(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&')) AS title FROM pages")
+def page_nodes(spark, sf_dir):
+    n = html.nodes(read(spark, sf_dir, "pages"))
+    counted = F.count_if(F.col("tag").isin("p", "div", "article", "h1", "li", "a", "b", "br", "title"))
+    return n.groupBy("page_id").agg(counted.alias("elements"), F.max(F.when(F.col("tag") == "title", F.col("text"))).alias("title"))
+
+
+def _heading_sql(c: str) -> str:
+    hits = {t: "(" + " + ".join(f"CASE WHEN contains(lower({c}), '{w}') THEN 1 ELSE 0 END" for w in words) + ")" for t, words in urls.HEADING_WORDS}
+    best = "greatest(" + ", ".join(hits.values()) + ")"
+    return f"CASE WHEN {best} = 0 THEN 'general' " + " ".join(f"WHEN least({h}, 3) = least({best}, 3) THEN '{t}'" for t, h in hits.items()) + " END"
+
+
+_HEADS = Rows("id bigint, x string", (1, "Our Office and Location"), (2, "Contact us"), (3, "About us and our company"), (4, "News"), (5, "Company store contact us get in touch reach us"), (6, ""))
+
+
+@_C.add(f"SELECT id, {_heading_sql('x')} AS type FROM {_HEADS.sql} t")
+def heading_classify(spark, sf_dir):
+    return _HEADS.frame(spark).select("id", urls.heading_class(F.col("x"))["type"].alias("type"))
+
+
+@_C.add(f"SELECT page_id, {_heading_sql(chr(104))} AS type FROM (SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS h FROM pages) q")
+def page_heading_classify(spark, sf_dir):
+    rows = dom_extract.headings(html.nodes(read(spark, sf_dir, "pages")))
+    return rows.select("page_id", urls.heading_class(F.col("headings"))["type"].alias("type"))
+
+
+_TEXT_OF = "regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', '', 'g'), '<[^<>]*>', '', 'g')"
+
+
+@_C.add(f"SELECT page_id, {' OR '.join(f'contains(html, {chr(39)}{m}{chr(39)})' for m in dom_extract.SCRIPTED)} OR length(trim({_TEXT_OF})) < 200 AS scripted FROM pages")
+def js_marker_filter(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", dom_extract.needs_scripts(F.col("html")).alias("scripted"))
+
+
+_PAGE = """<html><head><script type="application/ld+json">{"@graph": [{"@type": "Organization", "name": "Acme", "telephone": ["1", "2"], "address": {"streetAddress": "1 Main St", "addressLocality": "Ulm", "addressCountry": {"name": "DE"}}}, {"@type": ["Place"], "name": "Spot", "geo": {"latitude": 1.5, "longitude": "2.5"}}, {"@type": "Person", "name": "No", "address": "x"}]}</script>
+<script type="application/ld+json">{broken</script><script>var offices = [{"name": "Dock", "address": "5 Pier Rd", "lat": 3.25, "lng": 4.5}]; window.pageData = {"stores": [{"title": "Kiosk", "addr": "6 Quay St"}]}; var bad = {oops};</script></head><body>
+<div itemscope itemtype="https://schema.org/LocalBusiness"><span itemprop="name">Micro</span><div itemprop="address" itemscope itemtype="https://schema.org/PostalAddress"><meta itemprop="streetAddress" content="9 Side Rd"><span itemprop="addressLocality">Bonn</span></div></div>
+<div><h3>GERMANY</h3><h3>Berlin</h3><p>Unter den Linden 5, 10117 Berlin<p>Tel 030<h3>Munich</h3><p>short</p><h3>Korea (South)</h3><h3>Seoul</h3><div>Gangnam-daero 100, Seoul 06000</div></div>
+<table><tr><th>Office<th>Address<tr><td>HQ<td>Austin, TX 78701<tr><td>Lab<td>none</table>
+<section><h2>Our offices</h2><p>12 Oak Street, Springfield 62704</p><p>no</p></section>
+<ul class="locations"><li class="office"><strong>North</strong> 1 North Road, Leeds LS1 1AA</li><li>tiny</li></ul>
+<iframe src="https://www.google.com/maps/embed?pb=!3d48.1!4d11.5"></iframe><a href="https://www.google.com/maps/@37.77,-122.41,15z">m</a><a href="https://www.openstreetmap.org/?mlat=51.5&mlon=-0.12">o</a><a href="https://maps.google.com/">none</a>
+<div data-lat="10.5" data-lng="20.5"></div><div data-location='{"lat": 1.25, "lng": 2.25}'></div><div data-location="7.5, 8.5"></div>
+<a href="tel:+1 555">t</a><a href="mailto:A@b.co?subject=x">e</a><a href="https://facebook.com/acme">f</a><a href="https://partner.test/page">w</a><address>3 Quiet Lane, Bath</address></body></html>"""
+_PAGES = Rows("page_id bigint, html string", (1, _PAGE), (2, ""), (3, "<p>plain <b>text"), (4, None))
+
+
+def _nodes(spark):
+    return html.nodes(_PAGES.frame(spark))
+
+
+def _expect(columns: str, *rows: str) -> str:
+    return f"SELECT CAST(page_id AS BIGINT) AS page_id, * EXCLUDE (page_id) FROM (VALUES {', '.join(rows)}) v(page_id, {columns})"
+
+
+@_C.add(_expect("name, address, latitude, longitude, phone", "(1, 'Acme', '1 Main St, Ulm, DE', NULL, NULL, '1')", "(1, 'Spot', '', 1.5::DOUBLE, 2.5::DOUBLE, NULL)"))
+def jsonld_locations(spark, sf_dir):
+    return dom_extract.json_ld(_nodes(spark)).select("page_id", "name", "address", "latitude", "longitude", "phone")
+
+
+@_C.add(_expect("name, address", "(1, 'Micro', '9 Side Rd, Bonn')"))
+def microdata_locations(spark, sf_dir):
+    return dom_extract.microdata(_nodes(spark)).select("page_id", "name", "address")
+
+
+@_C.add(_expect("name, address", "(1, 'Berlin, GERMANY', 'Unter den Linden 5, 10117 Berlin Tel 030')", "(1, 'Seoul, Korea (South)', 'Gangnam-daero 100, Seoul 06000')"))
+def sequential_headers(spark, sf_dir):
+    return dom_extract.sequential_headers(_nodes(spark)).select("page_id", "name", "address")
+
+
+@_C.add(_expect("name, address", "(1, 'HQ', 'Austin, TX 78701')"))
+def table_locations(spark, sf_dir):
+    return dom_extract.tables(_nodes(spark)).select("page_id", "name", "address")
+
+
+@_C.add(_expect("name, address", "(1, 'Our offices', '12 Oak Street, Springfield 62704')"))
+def heading_siblings(spark, sf_dir):
+    return dom_extract.after_headings(_nodes(spark)).select("page_id", "name", "address")
+
+
+@_C.add(_expect("name, address", "(1, 'North', 'North 1 North Road, Leeds LS1 1AA')"))
+def card_locations(spark, sf_dir):
+    return dom_extract.cards(_nodes(spark)).select("page_id", "name", "address")
+
+
+@_C.add(_expect("address", "(1, '3 Quiet Lane, Bath')"))
+def semantic_elements(spark, sf_dir):
+    return dom_extract.semantic(_nodes(spark)).where("address LIKE '3 %'").select("page_id", "address")
+
+
+@_C.add(_expect("address", "(1, 'North 1 North Road, Leeds LS1 1AA')"))
+def list_items(spark, sf_dir):
+    return dom_extract.blocks(_nodes(spark), ("li",), 15, 400, 0.75).select("page_id", "address")
+
+
+@_C.add(_expect("provider, latitude, longitude", "(1, 'google', 48.1::DOUBLE, 11.5::DOUBLE)", "(1, 'google', 37.77, -122.41)", "(1, 'openstreetmap', 51.5, -0.12)"))
+def map_url_coords(spark, sf_dir):
+    return dom_extract.maps(_nodes(spark)).select("page_id", "provider", "latitude", "longitude")
+
+
+@_C.add(_expect("latitude, longitude", "(1, 10.5::DOUBLE, 20.5::DOUBLE)", "(1, 1.25, 2.25)", "(1, 7.5, 8.5)"))
+def data_attributes(spark, sf_dir):
+    return dom_extract.data_attributes(_nodes(spark)).select("page_id", "latitude", "longitude")
+
+
+@_C.add(_expect("name, address, latitude, longitude", "(1, 'Dock', '5 Pier Rd', 3.25::DOUBLE, 4.5::DOUBLE)", "(1, 'Kiosk', '6 Quay St', NULL, NULL)"))
+def inline_script_locations(spark, sf_dir):
+    return dom_extract.inline_scripts(_nodes(spark)).select("page_id", "name", "address", "latitude", "longitude")
+
+
+@_C.add(_expect("kind, value", "(1, 'phone', '+1 555')", "(1, 'email', 'a@b.co')", "(1, 'facebook', 'https://facebook.com/acme')", "(1, 'website', 'https://partner.test')", "(1, 'website', 'https://www.google.com')", "(1, 'website', 'https://www.openstreetmap.org')", "(1, 'website', 'https://maps.google.com')"))
+def page_contacts(spark, sf_dir):
+    return dom_extract.contacts(_nodes(spark))
+
+
+_JSON = Rows(
+    "page_id bigint, body string",
+    (1, '[{"name": "A", "street": "1 X St", "city": "Rome", "zip": 100, "lat": "1.5", "lng": 2.5, "country": "it"}, {"other": 1}]'),
+    (2, '{"meta": 1, "stores": [{"storeName": "B", "address": "2 Y St", "tel": "55"}]}'),
+    (3, '{"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"coordinates": [10.5, 20.5]}, "properties": {"title": "C"}}, {"type": "Feature", "properties": {"name": "D"}}]}'),
+    (4, "{broken"),
+)
+
+
+@_C.add(_expect("name, address, postcode, country_iso3, latitude, longitude", "(1, 'A', '1 X St, Rome, 100', '100', 'ITA', 1.5::DOUBLE, 2.5::DOUBLE)", "(2, 'B', '2 Y St', '', '', NULL, NULL)", "(3, 'C', '', '', '', 20.5, 10.5)"))
+def api_json_locations(spark, sf_dir):
+    return json_extract.answers(_JSON.frame(spark), "page_id", "body").select("page_id", "name", "address", "postcode", "country_iso3", "latitude", "longitude")
+
+
+@_C.add(_expect("path, length, depth", "(1, '$', 2::BIGINT, 0::BIGINT)", "(2, '$.stores', 1, 1)", "(3, '$.features', 2, 1)", "(3, '$.features.0.geometry.coordinates', 2, 4)"))
+def json_list_census(spark, sf_dir):
+    return json_extract.list_census(_JSON.frame(spark), "page_id", "body")
+
+
+_URLS = Rows("id bigint, x string", (1, "a.test, https://b.test;;c.test\nd.test "), (2, ""), (3, " , "))
+
+
+@_C.add("SELECT CAST(id AS BIGINT) AS id, CAST(seq AS INT) AS seq, url FROM (VALUES (1, 0, 'https://a.test'), (1, 1, 'https://b.test'), (1, 2, 'https://c.test'), (1, 3, 'https://d.test')) v(id, seq, url)")
+def url_text_input(spark, sf_dir):
+    return readers.from_text(_URLS.frame(spark))
+
+
+@_C.add(f"SELECT o.origin, CAST(i - 1 AS INT) AS seq, o.origin || e[i] AS endpoint FROM (SELECT DISTINCT {_ORIGIN} AS origin FROM pages) o, (SELECT [{', '.join(repr(p) for p in readers.ENDPOINTS)}] AS e, unnest(range(1, {len(readers.ENDPOINTS) + 1})) AS i) k WHERE o.origin <> ''")
+def api_endpoints(spark, sf_dir):
+    return readers.endpoints(read(spark, sf_dir, "pages"))
+
+
+_ANSWERS = Rows("url string, status bigint", ("https://a.test/api/stores", 200), ("https://b.test/api/stores", 404), ("https://c.test/other", 200))
+
+
+@_C.add("SELECT 'https://a.test' AS origin")
+def api_available(spark, sf_dir):
+    sites = spark.createDataFrame([("https://a.test",), ("https://b.test",), ("https://c.test",)], "origin string")
+    return readers.available(sites, _ANSWERS.frame(spark))
+
+
+_BULK = Rows("company string, url string, Website string", ("A", " https://a.test ", None), (None, None, "https://b.test"), ("C", None, ""), ("", "https://d.test", "https://e.test"))
+
+
+@_C.add(f"SELECT coalesce(nullif(company, ''), 'Unknown') AS company, trim(coalesce(nullif(url, ''), nullif(Website, ''))) AS url FROM {_BULK.sql} t WHERE coalesce(nullif(url, ''), nullif(Website, '')) IS NOT NULL")
+def bulk_csv(spark, sf_dir):
+    return readers.from_csv(_BULK.frame(spark))
+
+
+_MAPS = Rows("site string, seq bigint, body string", ("a", 1, "<urlset><url><loc>https://a.test/offices</loc></url><url><loc> https://a.test/x.pdf </loc></url></urlset>"), ("a", 2, "<loc>https://a.test/second</loc>"), ("b", 1, "<html>none</html>"), ("b", 2, "<loc>https://b.test/about</loc>"))
+
+
+@_C.add("SELECT * FROM (VALUES ('a', 'https://a.test/offices'), ('b', 'https://b.test/about')) v(site, url)")
+def sitemap_urls(spark, sf_dir):
+    return readers.sitemap_urls(_MAPS.frame(spark))
+
+
+_ROBOTS = Rows("host string, body string", ("a.test", "User-agent: *\nDisallow: /private\nAllow: /private/open # yes\nCrawl-delay: 2\nSitemap: https://a.test/s.xml"), ("b.test", "User-agent: bad\nDisallow: /\nUser-agent: *\nDisallow:"))
+_ASKED = Rows("url string", ("https://a.test/private/x",), ("https://a.test/private/open/1",), ("https://a.test/",), ("https://b.test/any",), ("https://c.test/private",))
+
+
+@_C.add("SELECT * FROM (VALUES ('https://a.test/private/x', false), ('https://a.test/private/open/1', true), ('https://a.test/', true), ('https://b.test/any', true), ('https://c.test/private', true)) v(url, allowed)")
+def robots_allow(spark, sf_dir):
+    return readers.allowed(_ASKED.frame(spark), readers.robots_rules(_ROBOTS.frame(spark)))
+
+
+@_C.add("SELECT * FROM (VALUES ('a.test', 'delay', '2'), ('a.test', 'sitemap', 'https://a.test/s.xml')) v(host, kind, value)")
+def robots_delay_sitemaps(spark, sf_dir):
+    return readers.robots_rules(_ROBOTS.frame(spark)).where("kind IN ('delay', 'sitemap')")
+
+
+@_C.add(f"""SELECT page_id AS i, 'Location ' || (page_id + 1) || ' from ' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS location_name, (100 + page_id) || ' Business St, Suite ' || (100 + page_id) || ', New York, NY 1000' || page_id AS location_address,
+    ['Headquarters', 'Office', 'Warehouse', 'Retail'][CAST(page_id % 4 + 1 AS INT)] AS activity, round(40.7128 + page_id * 0.01::DOUBLE, 6) AS latitude, round(-74.0060 + page_id * 0.01::DOUBLE, 6) AS longitude, ['Own', 'Lease', 'Joint Venture'][CAST(page_id % 3 + 1 AS INT)] AS usage_share, url AS source_url FROM pages""")
+def mock_rows(spark, sf_dir):
+    return readers.demo(read(spark, sf_dir, "pages").select(F.col("page_id").alias("i"), "url"))
+
+
+_CACHE = Rows("key string, expires_at bigint", ("a", 100), ("b", 200))
+
+
+@_C.add("SELECT * FROM (VALUES ('a'), ('c')) v(key)")
+def cache_misses(spark, sf_dir):
+    return readers.uncached(spark.createDataFrame([("a",), ("b",), ("c",)], "key string"), _CACHE.frame(spark), F.lit(150))
+
+
+@_C.add("SELECT CAST(id AS BIGINT) AS id, reason FROM (VALUES (1, NULL), (2, 'no url'), (3, '1 to 10 urls'), (4, 'not an address'), (5, 'max_depth')) v(id, reason)")
+def request_validation(spark, sf_dir):
+    rows = [(1, "https://a.test", None, 50, 3), (2, None, None, 50, 3), (3, None, ["u"] * 11, 50, 3), (4, "nowhere", None, 50, 3), (5, "https://a.test", None, 50, 0)]
+    return readers.rejected(spark.createDataFrame(rows, "id bigint, url string, urls array<string>, max_pages int, max_depth int"))
+
+
+@_C.add(f"SELECT page_id, CASE WHEN regexp_matches(lower(url), '\\.pdf$|\\.pdf\\?|/pdf/') THEN 'pdf' WHEN regexp_matches(lower(url), '\\.json($|\\?)|/api/') THEN 'api' ELSE 'page' END AS route FROM {_SITES} s")
+def url_routing(spark, sf_dir):
+    return _sites(spark, sf_dir).select("page_id", readers.route(F.col("url")).alias("route"))
+
+
+_STATUS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in jobs.STATUS.items()) + " END"
+_STATES = f"SELECT user_id AS job_id, arg_max({_STATUS}, (ts, event_id)) AS status, count(*) AS reports, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS pages, count(*) FILTER (WHERE event_type = 'error') AS errors, max(ts) AS seen FROM events GROUP BY user_id"
+
+
+@_C.add(f"SELECT job_id, status, reports, pages, errors FROM ({_STATES}) s")
+def job_progress(spark, sf_dir):
+    return jobs.progress(jobs.job_events(read(spark, sf_dir, "events"))).select("job_id", "status", "reports", "pages", "errors")
+
+
+@_C.add(f"SELECT job_id, status FROM ({_STATES}) s WHERE status NOT IN ('completed', 'failed') OR seen > TIMESTAMP '2024-01-29 00:00:00' - INTERVAL 1 HOUR")
+def ttl_cleanup(spark, sf_dir):
+    states = jobs.progress(jobs.job_events(read(spark, sf_dir, "events")))
+    return jobs.alive(states, F.lit("2024-01-29 00:00:00").cast("timestamp")).select("job_id", "status")
+
+
+@_C.add("SELECT event_type, CAST(epoch(time_bucket(INTERVAL 60 SECOND, ts)) AS BIGINT) AS start, count(*) AS n, greatest(0, count(*) - 2) AS refused FROM events GROUP BY 1, 2")
+def rate_limit_window(spark, sf_dir):
+    return jobs.windows(read(spark, sf_dir, "events"), "event_type", 60, 2).withColumn("start", F.unix_timestamp("start"))
+
+
+@_C.add("SELECT CAST(floor(c_custkey / 5.0) AS BIGINT) AS batch, count(*) AS n FROM customer GROUP BY 1")
+def micro_batches(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return jobs.batches(rows, 5).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
