@@ -9,6 +9,8 @@ from geoloom.functions import address, geo
 
 #: Side of the cells that nearby places are looked up in, in degrees.
 CELL = 0.5
+#: Length of a degree of latitude, a little short.
+KM_PER_DEGREE = 111.0
 
 
 def geocode(rows: DataFrame, *providers: DataFrame, text: str = "location_address") -> DataFrame:
@@ -38,14 +40,22 @@ def components(rows: DataFrame, column: str = "components") -> DataFrame:
 
 
 def reverse(rows: DataFrame, places: DataFrame, reach_km: float = 50.0) -> DataFrame:
-    """id and the nearest place (name, km) within reach: looked up in the cell of a row and those around it.
+    """id and the nearest place (name, km to a millimetre) within reach: looked up in the cell of a row and those around it.
 
-    The reach must be under a cell's smaller side (at the latitudes used); ties go to the lesser name.
+    As many cells to either side as the reach takes up at the row's latitude, around the globe; ties go to the
+    lesser name. The reach must be under a cell's height.
     """
-    cell = lambda c: F.floor(c / CELL)
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    own = rows.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("id", "latitude", "longitude", around.alias("o"))
-    own = own.select("id", "latitude", "longitude", (cell(F.col("latitude")) + F.col("o.i")).alias("y"), (cell(F.col("longitude")) + F.col("o.j")).alias("x"))
-    known = places.select("name", "lat", "lon", cell(F.col("lat")).alias("y"), cell(F.col("lon")).alias("x"))
-    pairs = own.join(known, ["y", "x"]).withColumn("km", geo.haversine(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))).where(F.col("km") <= reach_km)
-    return pairs.groupBy("id").agg(F.min(F.struct("km", "name")).alias("n")).select("id", F.col("n.name").alias("name"), F.round("n.km", 6).alias("km"))
+    if reach_km > CELL * KM_PER_DEGREE:
+        raise ValueError("the reach is larger than a cell")
+    n = round(360 / CELL)
+    row_of = lambda c: F.floor(c / CELL)
+    column_of = lambda c: F.floor((c + 180) / CELL)
+    # degrees of longitude that the reach takes up, a cell nearer to the pole
+    wide = F.lit(reach_km / KM_PER_DEGREE) / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(90.0), F.abs("latitude") + CELL))))
+    side = F.least(F.lit(n // 2), F.ceil(wide / CELL) + 1).cast("int")
+    own = rows.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("id", "latitude", "longitude", side.alias("side"))
+    own = own.select("*", F.explode(F.sequence(-F.col("side"), F.col("side"))).alias("j")).select("*", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("i"))
+    own = own.select("id", "latitude", "longitude", (row_of(F.col("latitude")) + F.col("i")).alias("y"), F.pmod(column_of(F.col("longitude")) + F.col("j"), F.lit(n)).alias("x")).distinct()
+    known = places.select("name", "lat", "lon", row_of(F.col("lat")).alias("y"), F.pmod(column_of(F.col("lon")), F.lit(n)).alias("x"))
+    pairs = own.join(known, ["y", "x"]).withColumn("km", F.round(geo.haversine(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")), 6)).where(F.col("km") <= reach_km)
+    return pairs.groupBy("id").agg(F.min(F.struct("km", "name")).alias("n")).select("id", F.col("n.name").alias("name"), F.col("n.km").alias("km"))

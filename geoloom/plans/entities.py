@@ -13,15 +13,18 @@ from geoloom.plans.fixtures import LOC, Rows, locations
 _C = Catalog()
 QUERIES, SQL = _C.queries, _C.sql
 
-#: 300 rows and a copy of each with a short street word, moved by about 60 metres.
+#: All rows and a copy of each with a short street word, moved by about 60 metres.
 _COLUMNS = "location_name, location_address, latitude, longitude, country_iso3, postcode, state, street_or_city, activity, footprint, height, usage_share, source_url, phone, email"
 _MOVED = "location_name, replace(location_address, ' Street', ' St') AS location_address, latitude + 0.0005 AS latitude, longitude, country_iso3, postcode, state, street_or_city, activity, footprint, height, usage_share, source_url, phone, email"
-DOUBLED = f"(SELECT id, {_COLUMNS} FROM ({LOC}) l WHERE id <= 300 UNION ALL SELECT id + 1000000, {_MOVED} FROM ({LOC}) l WHERE id <= 300)"
+#: Rows of a state whose addresses begin with the same number are compared; without a number, with none.
+_BLOCK = "state || '|' || nullif(regexp_extract(location_address, '^([0-9]+)', 1), '')"
+DOUBLED = f"(SELECT *, {_BLOCK} AS block FROM (SELECT id, {_COLUMNS} FROM ({LOC}) l UNION ALL SELECT id + 100000000, {_MOVED} FROM ({LOC}) l) u)"
 
 
 def doubled(spark, sf_dir):
-    rows = locations(spark, sf_dir).where("id <= 300")
-    return rows.selectExpr("id", *_COLUMNS.split(", ")).unionByName(rows.selectExpr("id + 1000000 AS id", *_split(_MOVED)))
+    rows = locations(spark, sf_dir)
+    both = rows.selectExpr("id", *_COLUMNS.split(", ")).unionByName(rows.selectExpr("id + 100000000 AS id", *_split(_MOVED)))
+    return both.withColumn("block", F.expr(_BLOCK))
 
 
 def _split(columns: str) -> list[str]:
@@ -58,12 +61,12 @@ _PARTS = (
 )
 _WEIGHT = " + ".join(f"CASE WHEN {has} THEN {w} ELSE 0.0 END" for w, has, _ in _PARTS)
 _TOTAL = " + ".join(f"CASE WHEN {has} THEN {w} * ({s}) ELSE 0.0 END" for w, has, s in _PARTS)
-_PAIRS = f"SELECT a.id AS id_a, b.id AS id_b, round(CAST(({_TOTAL}) AS DOUBLE) / CAST(({_WEIGHT}) AS DOUBLE), 9) AS score FROM {DOUBLED} a JOIN {DOUBLED} b ON a.state = b.state AND a.id < b.id WHERE ({_WEIGHT}) > 0"
+_PAIRS = f"SELECT a.id AS id_a, b.id AS id_b, round(CAST(({_TOTAL}) AS DOUBLE) / CAST(({_WEIGHT}) AS DOUBLE), 9) AS score FROM {DOUBLED} a JOIN {DOUBLED} b ON a.block = b.block AND a.id < b.id WHERE ({_WEIGHT}) > 0"
 
 
 @_C.add(f"SELECT id_a, id_b, round(score, 6) AS score FROM ({_PAIRS}) p WHERE score >= 0.85")
 def similarity_pairs(spark, sf_dir):
-    return dedup.similar_pairs(doubled(spark, sf_dir), F.col("state")).withColumn("score", F.round("score", 6))
+    return dedup.similar_pairs(doubled(spark, sf_dir), F.col("block")).withColumn("score", F.round("score", 6))
 
 
 #: The walk in three rounds, which is as deep as these pairs chain.
@@ -76,12 +79,12 @@ _LED = f"""WITH p AS (SELECT * FROM ({_PAIRS}) p WHERE score >= 0.85), d AS (SEL
 @_C.add(f"{_LED} SELECT id, leader FROM led")
 def fuzzy_leaders(spark, sf_dir):
     rows = doubled(spark, sf_dir)
-    return dedup.leaders(dedup.similar_pairs(rows, F.col("state")), rows.select("id"))
+    return dedup.leaders(dedup.similar_pairs(rows, F.col("block")), rows.select("id"))
 
 
 @_C.add(SQL["fuzzy_leaders"])
 def fuzzy_leaders_grouped(spark, sf_dir):
-    return dedup.leaders_in_groups(doubled(spark, sf_dir), "state")
+    return dedup.leaders_in_groups(doubled(spark, sf_dir).withColumn("block", F.coalesce("block", F.concat(F.lit("#"), F.col("id").cast("string")))), "block")
 
 
 _EDGES = Rows("id_a bigint, id_b bigint", (1, 2), (2, 3), (3, 4), (1, 5), (4, 6), (5, 6), (7, 8))
@@ -192,12 +195,12 @@ def geocode_fallback(spark, sf_dir):
     return geocode.geocode(locations(spark, sf_dir), _PLACES.frame(spark), _MORE.frame(spark)).select("id", "latitude", "longitude", "geocoded_by")
 
 
-@_C.add(f"""SELECT id, arg_min(name, [km, CAST(substr(name, 6) AS DOUBLE)]) AS name, round(min(km), 6) AS km FROM (
-    SELECT a.id, 'place' || b.id AS name, {_KM} AS km FROM ({LOC}) a JOIN (SELECT id, latitude + 0.01 AS latitude, longitude FROM ({LOC}) l WHERE id % 10 = 1 AND latitude BETWEEN -60 AND 60) b ON abs(a.latitude - b.latitude) < 1 AND abs(a.longitude - b.longitude) < 2
-    WHERE a.latitude BETWEEN -60 AND 60) p WHERE km <= 25 GROUP BY id""")
+@_C.add(f"""SELECT id, arg_min(name, (km, name)) AS name, min(km) AS km FROM (
+    SELECT a.id, 'place' || b.id AS name, round({_KM}, 6) AS km FROM ({LOC}) a JOIN (SELECT id, latitude + 0.01 AS latitude, longitude FROM ({LOC}) l WHERE latitude IS NOT NULL AND longitude IS NOT NULL) b ON abs(a.latitude - b.latitude) < 1) p
+    WHERE km <= 25 GROUP BY id""")
 def reverse_geocode(spark, sf_dir):
-    rows = locations(spark, sf_dir).where("latitude BETWEEN -60 AND 60")
-    places = rows.where("id % 10 = 1 AND longitude IS NOT NULL").select(F.concat(F.lit("place"), F.col("id").cast("string")).alias("name"), (F.col("latitude") + 0.01).alias("lat"), F.col("longitude").alias("lon"))
+    rows = locations(spark, sf_dir)
+    places = rows.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(F.concat(F.lit("place"), F.col("id").cast("string")).alias("name"), (F.col("latitude") + 0.01).alias("lat"), F.col("longitude").alias("lon"))
     return geocode.reverse(rows, places, 25.0)
 
 

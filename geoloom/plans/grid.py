@@ -128,8 +128,8 @@ def bulk_report_locations(spark, sf_dir):
     return sinks.report_locations(enrich.with_quality(locations(spark, sf_dir)))
 
 
-@_C.add(f"SELECT true AS success, count(*) AS total_records, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM ({LOC}) l WHERE id <= 25")
+@_C.add(f"SELECT true AS success, count(*) AS total_records, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT id FROM ({LOC}) l ORDER BY id LIMIT 25) p")
 def json_envelope(spark, sf_dir):
-    one = sinks.envelope(locations(spark, sf_dir).where("id <= 25").select("id", "location_name"))
+    one = sinks.envelope(grid.page(grid.ordered(locations(spark, sf_dir), "id"), 1, 25).select("id", "location_name"))
     parsed = F.from_json("body", "success boolean, totalRecords bigint, data array<struct<id:bigint,location_name:string>>")
     return one.select(parsed.alias("b")).select(F.col("b.success").alias("success"), F.col("b.totalRecords").alias("total_records"), F.array_join(F.array_sort(F.col("b.data.id")).cast("array<string>"), ",").alias("ids"))
