@@ -49,3 +49,15 @@ def word_overlap(a: Column, b: Column) -> Column:
     words = lambda c: F.filter(F.split(F.lower(c), r"\W+"), lambda w: F.length(w) > 2)
     x, y = words(a), words(b)
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.filter(x, lambda w: F.array_contains(y, w))) / F.greatest(F.size(x), F.size(y)))
+
+
+def hash31(c: Column) -> Column:
+    """The 31-multiplier hash of a text in 32 bits, its absolute value in base 36."""
+    wrap = lambda x: F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("bigint"))
+    return F.lower(F.conv(F.abs(F.aggregate(codes, F.lit(0).cast("bigint"), lambda h, x: wrap(h * 31 + x))).cast("string"), 10, 36))
+
+
+def stable_id(*parts: Column) -> Column:
+    """An id that follows from the parts given, so that a row keeps it from run to run."""
+    return F.concat(F.lit("loc_"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16))

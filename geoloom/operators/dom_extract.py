@@ -151,3 +151,17 @@ def needs_scripts(html: Column) -> Column:
 
 def link_table(nodes: DataFrame) -> DataFrame:
     return nodes.where((F.col("tag") == "a") & attr("href").isNotNull()).select("page_id", "node_id", attr("href").alias("href"), "text")
+
+
+def sections(nodes: DataFrame, classes: str = r"(?i)location|office|contact|address|branch", least: int = 50) -> DataFrame:
+    """Sections and blocks classed as places whose text has an address; the innermost of those that nest."""
+    found = nodes.where((F.exists("classes", lambda c: c.rlike(classes)) | F.coalesce(F.col("elem_id").rlike(classes), F.lit(False))) & F.col("tag").isin("section", "div", "article", "footer"))
+    found = found.where((F.length("text") >= least) & has_components(F.col("text")))
+    outer = inside(found, found).select("page_id", F.col("o_node").alias("node_id")).distinct()
+    return found.join(outer, ["page_id", "node_id"], "left_anti").select("page_id", F.col("node_id").alias("seq"), F.col("text").alias("address"))
+
+
+def metadata(nodes: DataFrame) -> DataFrame:
+    """page_id, name and content of meta elements."""
+    name = F.coalesce(attr("name"), attr("property"))
+    return nodes.where((F.col("tag") == "meta") & name.isNotNull() & attr("content").isNotNull()).select("page_id", name.alias("name"), attr("content").alias("content"))

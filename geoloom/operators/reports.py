@@ -39,3 +39,32 @@ def markers(scored: DataFrame) -> DataFrame:
     """Rows with a place, with the colour and the text of their marker."""
     card = F.concat_ws(" | ", filled(F.col("location_name")), filled(F.col("location_address")), filled(F.col("activity")))
     return placed(scored).withColumns({"color": F.col("quality_color"), "card": card})
+
+
+def crawl_stats(results: DataFrame) -> DataFrame:
+    """Requests, those answered by structured data (and their share), by text, and failures; results has kind and found."""
+    n = F.count(F.lit(1))
+    structured = F.count_if((F.col("kind") == "structured") & (F.col("found") > 0))
+    share = F.when(n > 0, F.round(100.0 * structured / n, 1))
+    return results.agg(n.alias("requests"), structured.alias("structured"), share.alias("structured_percent"), F.count_if((F.col("kind") == "html") & (F.col("found") > 0)).alias("html"), F.count_if(F.col("kind") == "error").alias("errors"))
+
+
+def recall(rows: DataFrame, wanted: int) -> DataFrame:
+    """Rows found and their share of what is wanted, in percent."""
+    return rows.agg(F.count(F.lit(1)).alias("found"), F.round(100.0 * F.count(F.lit(1)) / wanted, 1).alias("percent"))
+
+
+def one_table(*strategies: DataFrame) -> DataFrame:
+    """The rows of all strategies, columns that one lacks as null."""
+    out = strategies[0]
+    for s in strategies[1:]:
+        out = out.unionByName(s, allowMissingColumns=True)
+    return out
+
+
+def with_details(rows: DataFrame, details: DataFrame, key: str = "place_id") -> DataFrame:
+    """rows with what is known of their place; their own values first."""
+    own = [c for c in details.columns if c != key]
+    known = details.select(key, *(F.col(c).alias(f"_{c}") for c in own))
+    out = rows.join(known, key, "left")
+    return out.select(*(c for c in rows.columns if c not in own), *(F.coalesce(*([F.col(c)] if c in rows.columns else []), F.col(f"_{c}")).alias(c) for c in own))
