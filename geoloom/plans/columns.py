@@ -183,7 +183,7 @@ def info_scores(spark, sf_dir):
 _BAND = "CASE WHEN confidence IS NULL THEN 'unknown' WHEN confidence >= 0.9 THEN 'HIGH' WHEN confidence >= 0.75 THEN 'MEDIUM-HIGH' WHEN confidence >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END"
 
 
-@_C.add(f"SELECT id, {_BAND} AS band, coalesce({_cases('method', quality.METHODS)}, method, 'unknown') AS label, coalesce(confidence, 0.8) AS defaulted FROM ({LOC}) l")
+@_C.add(f"SELECT id, {_BAND} AS band, coalesce({_cases('method', quality.METHODS)}, method, 'unknown') AS label, CAST(coalesce(confidence, 0.8) AS DOUBLE) AS defaulted FROM ({LOC}) l")
 def confidence_labels(spark, sf_dir):
     return locations(spark, sf_dir).select("id", quality.band(F.col("confidence")).alias("band"), quality.method_label(F.col("method")).alias("label"), enrich.default_confidence("dom-blocks").alias("defaulted"))
 
