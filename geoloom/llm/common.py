@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step holds at once; a longer text is a step of its own.
 SLICE_BYTES = 2 << 20
 
+#: Rows of an Arrow batch: Spark's default of 10,000 texts is held several times over, beside the heap.
+BATCH_ROWS = 1024
+#: Bytes of text after which a Python worker, which lives on between tasks, gives freed memory back.
+RELEASE_BYTES = 32 << 20
+
 U = np.uint64
 _MASK = (1 << 64) - 1
 
@@ -47,10 +53,29 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
 
 
 def text_column(df: DataFrame, text: str = "text"):
-    """The text as a string, null as empty."""
+    """The text as a string, null as empty. Also has the session hand texts to Python in small batches, unless it sets their size itself."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+_seen = 0
+
+
+def release(n: int = RELEASE_BYTES) -> None:
+    """Count n bytes as done with; give freed memory back to the system from time to time."""
+    global _seen
+    _seen += n
+    if _seen >= RELEASE_BYTES:
+        _seen = 0
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds at most limit bytes of the column, or a single row."""
     if not batch.num_rows:
@@ -63,6 +88,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
             total, start = 0, i
         total += n
     yield batch.slice(start)
+    release(int(sizes.sum()))
 
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

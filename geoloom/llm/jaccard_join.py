@@ -223,6 +223,7 @@ def _candidates(rules: list[tuple[int, int]]):
             found.append(np.stack(_pairwise(values, a, b, rules), axis=1))
         edges = np.sort(nodes[np.concatenate(found)], axis=1)
         edges = np.unique(edges, axis=0) if len(edges) else edges
+        common.release()
         return pa.Table.from_arrays([pa.array(edges[:, 0].copy(), pa.int64()), pa.array(edges[:, 1].copy(), pa.int64())], schema=schema)
 
     return run
@@ -326,6 +327,7 @@ def _links(threshold: float):
                 for j in (i + 1 + np.flatnonzero(linked[i, i + 1 :])).tolist():
                     if forest.join(i, j):
                         out.append((int(nodes[rows[i]]), int(nodes[rows[j]]), 0))
+        common.release()
         return pa.Table.from_pylist([dict(zip(("a", "b", "links"), x, strict=True)) for x in out], schema=schema)
 
     return run

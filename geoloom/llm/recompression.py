@@ -34,6 +34,8 @@ from geoloom.llm.common import U
 WINDOW = 35
 #: Rounds of naming; after r rounds a symbol stands for about (4/3)**r words, its context for about 2**r times as many.
 ROUNDS = 3
+#: Bytes of text that are parsed at once, which takes about 150 times as much memory.
+PARSE_BYTES = 1 << 20
 #: Bytes of text that a chunk holds on average, and chunks that even small inputs are dealt into.
 CHUNK_BYTES = 4 << 20
 LEAST_CHUNKS, ROWS_PER_CHUNK = 256, 128
@@ -210,7 +212,7 @@ def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
 def _names(window: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch):
+            for part in common.slices(batch, limit=PARSE_BYTES):
                 w = Words(part.column(1))
                 at, name, names = w.representatives(window, rounds)
                 new = np.flatnonzero(np.append(True, name[1:] != name[:-1])[: len(name)])
@@ -233,7 +235,7 @@ def _within(name: np.ndarray, unique: np.ndarray) -> np.ndarray:
 
 def _suspects(docs: pa.Table, unique: np.ndarray, window: int, rounds: int) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray]]:
     for batch in docs.combine_chunks().to_batches():
-        for part in common.slices(batch):
+        for part in common.slices(batch, limit=PARSE_BYTES):
             w = Words(part.column(part.schema.get_field_index("text")))
             at, name, _ = w.representatives(window, rounds)
             yield part, w, at[~_within(name, unique)]
