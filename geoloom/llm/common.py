@@ -31,19 +31,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share; only where none is configured (tests) a local one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/geoloom-scratch-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A fresh path in the folder that all executors share; only where none is configured (tests) it is a local one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/geoloom-scratch-{os.getpid()}"
     return f"{root.rstrip('/')}/geoloom/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that this process has written to the shared folder, once no result that reads them is needed."""
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

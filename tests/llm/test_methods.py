@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
@@ -307,6 +308,14 @@ def test_registry_names():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 11))
 
 
+def test_scratch_tables_are_cleaned(spark):
+    df = common.materialise(spark.range(3), "three")
+    assert df.count() == 3 and len(df.inputFiles()) > 0
+    folder = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    common.clean(spark)
+    assert not common._written and not os.path.exists(folder)
+
+
 def test_words_of_bytes():
     raw, offsets = common.utf8(pa.array(["a  b c", None, "", "d\x0be", "f"]))
     starts, ends, bounds = common.words(raw, offsets)
