@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 
 #: What surely is not white space in any definition of it.
 _VISIBLE = re.compile(r"[\w!-~]")
+#: Marks that often follow a word.
+MARKS = ",."
 _CUT = re.compile(r" (?=[\w!-~])")
 
 
@@ -22,6 +24,7 @@ class UnitCache:
         self.encode, self.limit = encode, limit
         self.encode_units = encode_units or (lambda units: encode([" " + u for u in units]))
         self.kept: dict[str, bytes] = {}
+        self.marks = dict(zip(MARKS, encode(list(MARKS)), strict=True))
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of every text, in order; an empty text has none."""
@@ -47,7 +50,16 @@ class UnitCache:
             spaced = []
         now = self.kept
         if missing or spaced:
-            found = dict(zip(missing, self.encode_units(missing), strict=True)) if missing else {}
+            # a mark after letters is a pre-token of its own: the letters are encoded once for all that follows them
+            marked = [u for u in missing if u[-1] in self.marks and u[:-1].isalpha()]
+            bare = {u[:-1] for u in marked}
+            bare.update(missing)
+            bare.difference_update(marked)
+            whole = [u for u in bare if u not in self.kept]
+            found = dict(zip(whole, self.encode_units(whole), strict=True)) if whole else {}
+            for u in marked:
+                stem = u[:-1]
+                found[u] = (found.get(stem) or self.kept[stem]) + self.marks[u[-1]]
             found |= zip(spaced, self.encode([" " + u for u in spaced]), strict=True)
             if len(self.kept) + len(found) <= self.limit:
                 self.kept |= found
