@@ -12,19 +12,20 @@ from collections.abc import Callable, Iterator
 
 #: What surely is not white space in any definition of it.
 _VISIBLE = re.compile(r"[\w!-~]")
-#: Marks that often follow a word.
-MARKS = ",."
+#: Marks that may follow a word: a run of them is one pre-token. Of such runs, those kept.
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+MOST_MARKS = 20_000
 _CUT = re.compile(r" (?=[\w!-~])")
 
 
 class UnitCache:
     """encode(list of strings) gives the ids of each as bytes; limit bounds the units kept between batches."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], encode_units: Callable[[list[str]], list[bytes]] | None = None, limit: int = 800_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], encode_units: Callable[[list[str]], list[bytes]] | None = None, limit: int = 1_200_000):
         self.encode, self.limit = encode, limit
         self.encode_units = encode_units or (lambda units: encode([" " + u for u in units]))
         self.kept: dict[str, bytes] = {}
-        self.marks = dict(zip(MARKS, encode(list(MARKS)), strict=True))
+        self.marks: dict[str, bytes] = {}
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of every text, in order; an empty text has none."""
@@ -50,16 +51,20 @@ class UnitCache:
             spaced = []
         now = self.kept
         if missing or spaced:
-            # a mark after letters is a pre-token of its own: the letters are encoded once for all that follows them
-            marked = [u for u in missing if u[-1] in self.marks and u[:-1].isalpha()]
-            bare = {u[:-1] for u in marked}
-            bare.update(missing)
+            # marks after letters are a pre-token of their own: the letters are encoded once for all that follows them
+            marked = {u: stem for u in missing if (stem := u.rstrip(MARKS)) != u and stem.isalpha()}
+            if tails := list({u[len(stem) :] for u, stem in marked.items()} - self.marks.keys()):
+                if len(self.marks) + len(tails) > MOST_MARKS:
+                    self.marks.clear()
+                    tails = list({u[len(stem) :] for u, stem in marked.items()})
+                self.marks |= zip(tails, self.encode(tails), strict=True)
+            bare = set(missing)
             bare.difference_update(marked)
+            bare.update(marked.values())
             whole = [u for u in bare if u not in self.kept]
             found = dict(zip(whole, self.encode_units(whole), strict=True)) if whole else {}
-            for u in marked:
-                stem = u[:-1]
-                found[u] = (found.get(stem) or self.kept[stem]) + self.marks[u[-1]]
+            for u, stem in marked.items():
+                found[u] = (found.get(stem) or self.kept[stem]) + self.marks[u[len(stem) :]]
             found |= zip(spaced, self.encode([" " + u for u in spaced]), strict=True)
             if len(self.kept) + len(found) <= self.limit:
                 self.kept |= found
