@@ -36,9 +36,9 @@ HASHES, BAND = 128, 4
 STEP = 16
 #: A pair is dropped when the probability that it reaches the threshold is below this.
 EPSILON = 1e-5
-#: Documents that are compared with each other in one group, and rows of groups that one call is given.
+#: Documents that are compared with each other in one group, and about how many rows of groups one call is given.
 TILE = 512
-CELL_ROWS = 8192
+CELL_ROWS = 1024
 #: Buckets up to this size are compared pair by pair, larger ones as a search for a spanning forest.
 SMALL = 12
 #: Representatives in candidate components whose numbers may be broadcast, 48 bytes each.
