@@ -57,6 +57,80 @@ def blocked_pairs(rows: DataFrame, blocks: list[Column], threshold: float = THRE
     return found.dropDuplicates(["id_a", "id_b"])
 
 
+#: Edge of a cell in km: at 0.85 two rows with coordinates are at most 5 * 0.15 / 0.3 = 2.5 km apart, whatever else is given.
+CELL = 2.6
+#: At 0.85, without coordinates in both and without equal postcodes: the largest share of edits in addresses, where both are
+#: given (0.15 * 0.6 / 0.4), and in names, where an address is missing.
+ADDRESS_EDITS, NAME_EDITS = 0.225, 0.15
+#: Parts that the rows of a comparison without a selective key are dealt into.
+TILES = 16
+
+
+def whole_pairs(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """id_a < id_b and score of all rows whose similarity reaches the threshold, as if each were compared with each.
+
+    A pair that reaches 0.85 has coordinates in both and lies in neighbouring cells; or has equal postcodes; or
+    addresses in both that differ in few letters; or, with neither coordinates, address nor postcode in both, alike
+    names. Comparisons without a selective key are dealt into tiles; their count grows with the square of such rows.
+    """
+    if threshold < THRESHOLD:
+        raise ValueError(f"the bounds hold from {THRESHOLD} on")
+    given = lambda n: present(F.col(n)).cast("int")
+    placed = given("latitude") * given("longitude")
+    mask = placed + 2 * given("location_address") + 4 * given("postcode")
+    y, x = F.radians(F.col("latitude").cast("double")), F.radians(F.col("longitude").cast("double"))
+    cell = F.array(*(F.floor(6371.0 / CELL * v) for v in (F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y))))
+    named = rows.select(
+        "id",
+        F.struct(*FIELDS).alias("r"),
+        mask.alias("m"),
+        F.when(placed == 1, cell).alias("cell"),
+        F.when(given("postcode") == 1, address.comparison_postcode(F.col("postcode"))).alias("post"),
+        F.when(given("location_address") == 1, address.comparison_address(F.col("location_address"))).alias("street"),
+        F.when(given("location_name") == 1, F.lower("location_name")).alias("name"),
+    )
+    a, b = (named.select(*(F.col(c).alias(f"{c}_{s}") for c in named.columns)) for s in "ab")
+    apart = F.col("m_a").bitwiseAND(F.col("m_b"))
+    unplaced = apart.bitwiseAND(F.lit(1)) == 0
+
+    around = [F.array(*(F.col("cell_b")[i] + d for i, d in enumerate((u, v, w)))) for u in (-1, 0, 1) for v in (-1, 0, 1) for w in (-1, 0, 1)]
+    near = a.where("cell_a IS NOT NULL").join(b.where("cell_b IS NOT NULL").withColumn("cell_a", F.explode(F.array(*around))), "cell_a")
+    posts = a.join(b, F.col("post_a") == F.col("post_b")).where(unplaced)
+
+    # each address once, so that rows with a common one are compared by a key
+    open_streets = named.where("street IS NOT NULL AND m % 2 = 0").select(F.col("street").alias("street_a")).distinct()
+    streets = named.where("street IS NOT NULL").select(F.col("street").alias("street_b")).distinct()
+    alike = _tiled(open_streets, streets, F.xxhash64("street_a")).where(_few_edits("street_a", "street_b", ADDRESS_EDITS)).drop("_tile")
+    by_street = named.where("street IS NOT NULL AND m % 2 = 0").withColumnRenamed("street", "street_a").join(alike, "street_a")
+    one = by_street.select("id", "r", "m", "post", F.col("street_b").alias("street")).alias("one")
+    other = named.where("street IS NOT NULL").select("id", "r", "m", "post", "street").alias("other")
+    found = one.join(other, "street").where("one.id < other.id OR (other.id < one.id AND other.m % 2 = 1)").where("NOT (one.post <=> other.post) OR one.post IS NULL")
+    least = F.col("one.id") < F.col("other.id")
+    by_streets = found.select(F.least("one.id", "other.id").alias("id_a"), F.greatest("one.id", "other.id").alias("id_b"), F.when(least, F.col("one.r")).otherwise(F.col("other.r")).alias("r_a"), F.when(least, F.col("other.r")).otherwise(F.col("one.r")).alias("r_b"))
+
+    # no part but the name is in both: every mask meets those that share no bit with it
+    free = lambda c: F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: F.col(c).bitwiseAND(i) == 0)
+    p = a.where("name_a IS NOT NULL").withColumn("mb", F.explode(free("m_a")))
+    q = b.where("name_b IS NOT NULL").withColumn("mb", F.col("m_b"))
+    names = _tiled(p, q, F.xxhash64("id_a"), ["mb"]).where("id_a < id_b").where(_few_edits("name_a", "name_b", NAME_EDITS))
+
+    parts = [near.where("id_a < id_b"), posts.where("id_a < id_b"), by_streets, names]
+    scored = [d.select("id_a", "id_b", F.col("r_a").alias("a"), F.col("r_b").alias("b")).withColumn("score", F.round(pair_score("a", "b"), 9)).where(F.col("score") >= threshold).select("id_a", "id_b", "score") for d in parts]
+    # cells hold the pairs with coordinates, the others those without; only a postcode may meet a name or an address again
+    return scored[0].unionByName(scored[1]).unionByName(scored[2]).unionByName(scored[3]).dropDuplicates(["id_a", "id_b"])
+
+
+def _tiled(a: DataFrame, b: DataFrame, deal: Column, keys: list[str] | None = None) -> DataFrame:
+    """a and b joined, a dealt into TILES and b copied to each, so that no key is one task's."""
+    return a.withColumn("_tile", F.pmod(deal, F.lit(TILES))).join(b.withColumn("_tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(TILES - 1).cast("bigint")))), ["_tile", *(keys or [])])
+
+
+def _few_edits(a: str, b: str, share: float) -> Column:
+    x, y = F.length(a), F.length(b)
+    most = F.floor(share * F.greatest(x, y) + 1e-6).cast("int")
+    return (F.abs(x - y) <= most) & (F.levenshtein(F.col(a), F.col(b)) <= most)
+
+
 def leaders(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """id and leader of every id, as a walk in the order of ids makes them: a row joins the least leader that it
     is similar to, or becomes one. pairs: id_a < id_b. Rounds decide all rows whose lesser neighbours are decided."""

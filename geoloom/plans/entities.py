@@ -87,6 +87,26 @@ def fuzzy_leaders_grouped(spark, sf_dir):
     return dedup.leaders_in_groups(doubled(spark, sf_dir).withColumn("block", F.coalesce("block", F.concat(F.lit("#"), F.col("id").cast("string")))), "block")
 
 
+#: The same without a block: each row is compared with each.
+_WHOLE = _PAIRS.replace("ON a.block = b.block AND a.id < b.id", "ON a.id < b.id")
+#: The walk itself, a row a step.
+_WALKED = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM ({_WHOLE}) p WHERE score >= 0.85),
+    n AS MATERIALIZED (SELECT d.id, row_number() OVER (ORDER BY d.id) AS i, coalesce(list(p.id_a) FILTER (WHERE p.id_a IS NOT NULL), []) AS near FROM {DOUBLED} d LEFT JOIN p ON p.id_b = d.id GROUP BY d.id),
+    w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS l UNION ALL SELECT n.i, CASE WHEN list_has_any(n.near, w.l) THEN w.l ELSE list_append(w.l, n.id) END FROM w JOIN n ON n.i = w.i + 1),
+    led AS (SELECT id, coalesce(list_min(list_intersect(near, l)), id) AS leader FROM n, (SELECT arg_max(l, i) AS l FROM w) x)"""
+
+
+@_C.add(f"SELECT id_a, id_b, round(score, 6) AS score FROM ({_WHOLE}) p WHERE score >= 0.85")
+def similarity_pairs_whole(spark, sf_dir):
+    return dedup.whole_pairs(doubled(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@_C.add(f"{_WALKED} SELECT id, leader FROM led")
+def fuzzy_leaders_whole(spark, sf_dir):
+    rows = doubled(spark, sf_dir)
+    return dedup.leaders(dedup.whole_pairs(rows), rows.select("id"))
+
+
 _EDGES = Rows("id_a bigint, id_b bigint", (1, 2), (2, 3), (3, 4), (1, 5), (4, 6), (5, 6), (7, 8))
 _NODES = Rows("id bigint", (1,), (2,), (3,), (4,), (5,), (6,), (7,), (8,), (9,))
 
@@ -98,11 +118,19 @@ def leaders_chain(spark, sf_dir):
 
 @_C.add(f"{_LED} SELECT leader, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM led GROUP BY leader HAVING count(*) > 1")
 def duplicate_groups(spark, sf_dir):
-    led = fuzzy_leaders(spark, sf_dir)
+    return _groups(fuzzy_leaders(spark, sf_dir))
+
+
+def _groups(led):
     groups = led.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",").alias("ids"))
     return groups.where("n > 1")
 
 
+@_C.add(f"{_WALKED} SELECT leader, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM led GROUP BY leader HAVING count(*) > 1")
+def duplicate_groups_whole(spark, sf_dir):
+    return _groups(fuzzy_leaders_whole(spark, sf_dir))
+
+
 def _longest(n: str) -> str:
     return f"arg_max({n}, [length(CAST({n} AS VARCHAR)), -id]) FILTER (WHERE {n} IS NOT NULL) AS {n}"
 

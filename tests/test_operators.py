@@ -46,6 +46,19 @@ def test_leaders_equal_a_walk(spark):
         assert {r.id: r.leader for r in found.collect()} == led
 
 
+def test_whole_pairs_equal_all_pairs(spark, sf_dir):
+    from geoloom.plans.entities import doubled
+
+    rows = doubled(spark, sf_dir).drop("block")
+    odd = [(-1, None, 89.9999, 10.0, "A"), (-2, None, 89.9999, -170.0, "A"), (-3, None, 10.0, 179.9995, "A"), (-4, None, 10.0, -179.9995, "A"), (-5, "Street", None, None, None), (-6, "Road", None, None, None), (-7, "5 Elm", 0.0, 3.0, "Q"), (-8, "5 Elm", 0.0, 9.0, "Q")]
+    more = spark.createDataFrame(odd, "id bigint, location_address string, latitude double, longitude double, location_name string")
+    rows = rows.unionByName(more, allowMissingColumns=True).cache()
+    every = {(r.id_a, r.id_b): r.score for r in dedup.similar_pairs(rows, F.lit(1)).collect()}
+    found = dedup.whole_pairs(rows).collect()
+    assert {(r.id_a, r.id_b): r.score for r in found} == every and len(found) == len(every)
+    assert (13, 100000013) in every and (-2, -1) in every and (-4, -3) in every and (-6, -5) in every and (-8, -7) in every
+
+
 def test_best_of_is_the_same_however_rows_are_dealt(spark, sf_dir):
     rows = locations(spark, sf_dir)
     one = dedup.best_of(rows, F.col("state"), F.col("id")).select("id")
