@@ -75,13 +75,36 @@ def rules(docs: DataFrame, host: str = "source", share: float = LIMIT_SHARE, lea
     documents of their own and count as such in the line counts. A line at the limit stays; the limit of a
     host is the larger of `least` and `share` of its documents. Other columns of docs are not read.
     """
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"), (F.coalesce(F.col(host).cast("string"), F.lit("")) if host in docs.columns else F.lit("")).alias("host"))
+    return _judged(_named(docs, host), share, least).drop("row", "gone_lines")
+
+
+def cleaned(docs: DataFrame, host: str = "source", share: float = LIMIT_SHARE, least: int = LEAST_LIMIT) -> DataFrame:
+    """docs, all columns, with the lines above their limit removed from text; rows that rules() doesn't keep go, n_chars (if any) is counted anew."""
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), *_named(docs, host, row=False))
+    # a row's number must be the same in the marks and in the texts
+    rows = common.materialise(own.withColumn("row", F.monotonically_increasing_id()), "rows")
+    marks = _judged(rows.select("doc_id", "text", "host", "row"), share, least).where("kept").select("row", "gone_lines")
+    gone = lambda x: x.rlike(f"[^{SPACE}]") & F.array_contains("gone_lines", F.xxhash64(normalised(x)))
+    text = F.when(F.size("gone_lines") == 0, F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x: ~gone(x)), "\n"))
+    out = rows.join(marks, "row").withColumn("left_text", text)
+    made = {"text": F.col("left_text")} | ({"n_chars": F.char_length("left_text").cast("long")} if "n_chars" in docs.columns else {})
+    return out.select(*(made.get(c, F.col("own")[c]).alias(c) for c in docs.columns))
+
+
+def _named(docs: DataFrame, host: str, row: bool = True):
+    """doc_id, text, host and row; without row the columns of the first three."""
+    named = [F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"), (F.coalesce(F.col(host).cast("string"), F.lit("")) if host in docs.columns else F.lit("")).alias("host")]
+    return docs.select(*named).withColumn("row", F.monotonically_increasing_id()) if row else named
+
+
+def _judged(named: DataFrame, share: float, least: int) -> DataFrame:
+    """The columns of rules() with row and gone_lines, the hashes of a row's lines above their limit."""
     line_hashes = F.array_distinct(F.transform(lines_with_words(F.col("text")), lambda x: F.xxhash64(normalised(x))))
     counts = named.select("host", F.explode(line_hashes).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
     documents = named.groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
     frequent = common.materialise(counts.join(documents, "host").where(F.col("n") > share * F.col("documents")).select("host", "line"), "lines")
 
-    rows = named.select(F.monotonically_increasing_id().alias("row"), "doc_id", "host", "text", words(F.col("text")).alias("w"), lines_with_words(F.col("text")).alias("l"))
+    rows = named.select("row", "doc_id", "host", "text", words(F.col("text")).alias("w"), lines_with_words(F.col("text")).alias("l"))
     rows = rows.select(
         "row",
         "doc_id",
@@ -99,11 +122,11 @@ def rules(docs: DataFrame, host: str = "source", share: float = LIMIT_SHARE, lea
     marked = frequent.withColumn("gone", F.lit(True))
     joined = exploded.join(common.broadcast_if_small(marked, frequent.count(), MAX_LINES), ["host", "line"], "left")
     # all but row and the sum are the same for a document's lines
-    out = joined.groupBy("row").agg(*(F.first(c).alias(c) for c in base[1:]), F.sum(F.when(F.col("gone"), F.col("n")).otherwise(0)).alias("removed"))
+    out = joined.groupBy("row").agg(*(F.first(c).alias(c) for c in base[1:]), F.sum(F.when(F.col("gone"), F.col("n")).otherwise(0)).alias("removed"), F.collect_set(F.when(F.col("gone"), F.col("line"))).alias("gone_lines"))
     left = F.col("n_words") - F.col("removed")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     whole = (F.col("removed") == 0) | ((left >= LEAST_WORDS) & (left >= LEAST_SHARE * F.col("n_words")))
-    return out.select(*base[1:], failed.alias("base_failed"), left.alias("words_left"), (~failed & whole).alias("kept"))
+    return out.select("row", "gone_lines", *base[1:], failed.alias("base_failed"), left.alias("words_left"), (~failed & whole).alias("kept"))
 
 
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,6 +225,21 @@ def test_frequent_lines_deplete(spark):
     assert got[100].words_left == 66 and got[100].kept
 
 
+def test_frequent_lines_are_removed(spark):
+    letters = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
+    own = lambda i, n=60: " ".join(f"u{letters(i)}{letters(j)}" for j in range(n))
+    menu = " ".join(f"m{letters(j)}" for j in range(60))
+    rows = [(i, f"{menu} {i}\n\n{own(i, 150)}\n {menu}  {i}", "h", 1, i * 2) for i in range(10, 40)] + [(99, f"{menu} 77\n{own(99, 5)}", "h", 1, 0), (100, f"{menu} 55\n {own(100)} ", None, 1, 0), (10, f"{menu} 10\n{own(50)}", "h", 1, 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint, own int")
+    out = line_frequency.cleaned(docs)
+    got = sorted((tuple(r) for r in out.collect()), key=lambda r: (r[0], r[4]))
+    want = [(i, "\n" + own(i, 150), "h", len(own(i, 150)) + 1, i * 2) for i in range(10, 40)] + [(100, rows[31][1], None, len(rows[31][1]), 0), (10, own(50), "h", len(own(50)), 7)]
+    assert out.columns == docs.columns and got == sorted(want, key=lambda r: (r[0], r[4]))
+    assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
+    left = {r.words_left for r in line_frequency.rules(docs).where("kept").collect()}
+    assert left == {len(t.split()) for _, t, *_ in want}
+
+
 def test_line_rules_run_no_python(spark, sf_dir):
     plan = line_frequency.op6_line_frequency(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
