@@ -2,6 +2,7 @@
 
 import random
 
+from compare import same
 from pyspark.sql import functions as F
 
 from geoloom.functions import address, geo, quality, text
@@ -128,6 +129,15 @@ def test_stream_equals_table(spark, sf_dir, tmp_path):
     assert got == sorted(map(str, jobs.progress(jobs.job_events(events)).collect()))
 
 
+def test_phones_written_in_pairs(spark, tmp_path):
+    from geoloom.plans import extraction
+
+    rows = spark.createDataFrame([(1, "Tel +33 1 42 68 53 00"), (2, "+1-22-33-44"), (3, "none"), (4, None)], "doc_id bigint, text string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(tuple(r) for r in extraction.doc_phones(spark, str(tmp_path)).collect()) == [(1, "+33 1 42 68"), (2, "+1-22-33-44")]
+    same(spark, str(tmp_path), extraction.doc_phones, extraction.SQL["doc_phones"])
+
+
 def test_levels(spark):
     rows = spark.createDataFrame([(90,), (89,), (70,), (50,), (49,)], "s int").select(quality.level(F.col("s")).alias("l"))
     assert [r.l for r in rows.collect()] == ["Excellent", "Good", "Good", "Fair", "Poor"]
