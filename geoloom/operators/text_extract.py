@@ -78,9 +78,12 @@ def lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     return docs.select(key, F.posexplode(kept).alias("pos", "line"))
 
 
-def pattern_lines(docs: DataFrame, most: int = 1000) -> DataFrame:
-    """doc_id, pos and street of lines of 20 to 300 characters that match an address pattern and look like one."""
-    rows = lines(docs).where((F.col("pos") < most) & F.length("line").between(20, 300))
+def pattern_lines(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id, pos and street of lines of 20 to 300 characters that match an address pattern and look like one.
+
+    most: look at so many lines of a document only (the reference stops at 1,000); None: at all."""
+    rows = lines(docs).where(F.length("line").between(20, 300))
+    rows = rows if most is None else rows.where(F.col("pos") < most)
     return rows.where(matches_any(F.col("line"), address.LINE_PATTERNS) & address.looks_like_address(F.col("line"))).select("doc_id", "pos", F.regexp_replace("line", r"\s+", " ").alias("street"))
 
 

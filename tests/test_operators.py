@@ -138,6 +138,15 @@ def test_phones_written_in_pairs(spark, tmp_path):
     same(spark, str(tmp_path), extraction.doc_phones, extraction.SQL["doc_phones"])
 
 
+def test_address_lines_of_long_documents(spark):
+    from geoloom.operators import text_extract
+
+    line = next(r.street for r in text_extract.pattern_lines(spark.createDataFrame([(1, "12 Main Street, Springfield, IL 62704")], "doc_id bigint, text string")).collect())
+    docs = spark.createDataFrame([(1, "\n".join([line] + ["x"] * 1199 + [line]))], "doc_id bigint, text string")
+    assert [r.pos for r in text_extract.pattern_lines(docs).orderBy("pos").collect()] == [0, 1200]
+    assert [r.pos for r in text_extract.pattern_lines(docs, most=1000).collect()] == [0]
+
+
 def test_levels(spark):
     rows = spark.createDataFrame([(90,), (89,), (70,), (50,), (49,)], "s int").select(quality.level(F.col("s")).alias("l"))
     assert [r.l for r in rows.collect()] == ["Excellent", "Good", "Good", "Fair", "Poor"]
