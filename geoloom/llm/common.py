@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,8 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share; only where none is configured (tests) it is a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/geoloom-scratch-{os.getpid()}"
+    """A fresh path in the folder that all executors share. Where none is named, a local one, if Spark runs in one process (as in tests); else it raises."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/geoloom-scratch-{os.getpid()}"
     return f"{root.rstrip('/')}/geoloom/{name}-{uuid.uuid4().hex}"
 
 
@@ -136,31 +142,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-class RollingHash:
-    """Hashes of byte spans: sums of random byte values times powers of an odd base, modulo 2**64, then mixed."""
+class SpanHash:
+    """64-bit hashes of byte spans: eight bytes at a time are mixed into a state that begins with the length.
+
+    Each step is a non-linear bijection of the state, so no arrangement of bytes cancels as it would in a
+    polynomial. Spans beyond LONG bytes are hashed by BLAKE2, a call each. Nothing is kept between calls.
+    """
+
+    LONG = 128
+    _MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(0, 2**64, 256, dtype=np.uint64)
-        self.base = int(rng.integers(0, 2**62)) * 4 + 3
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, 1 << 16)
-            for name, b in (("powers", self.base), ("inverses", self.inverse)):
-                steps = np.full(n, U(b))
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps))
+        self.seed, self.odd = (int(x) for x in np.random.default_rng(seed).integers(0, 2**64, 2, dtype=np.uint64))
+        self.odd |= 1
 
     def spans(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if not len(starts):
             return np.zeros(0, np.uint64)
-        self.grow(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.table[raw] * self.powers[: len(raw)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64) * U(0x9E3779B97F4A7C15))
+        padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(raw) + 1, "<u8", padded.data, strides=(1,))
+        odd, n = U(self.odd), ends - starts
+        h = mix((eight[starts] & self._MASKS[np.minimum(n, 8)]) * odd + n.astype(np.uint64) + U(self.seed))
+        rest = np.flatnonzero((n > 8) & (n <= self.LONG))
+        at, left = starts[rest] + 8, n[rest] - 8
+        while len(rest):
+            h[rest] = mix((h[rest] ^ U(self.seed)) * odd + (eight[at] & self._MASKS[np.minimum(left, 8)]))
+            more = left > 8
+            rest, at, left = rest[more], at[more] + 8, left[more] - 8
+        key = self.seed.to_bytes(8, "little")
+        for i in np.flatnonzero(n > self.LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8, key=key).digest(), "little")
+        return h
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:

@@ -44,7 +44,7 @@ SMALL = 12
 #: Representatives in candidate components whose numbers may be broadcast, 48 bytes each.
 MAX_CANDIDATES = 200_000
 
-_WORD = common.RollingHash(0x5EED)
+_WORD = common.SpanHash(0x5EED)
 _rng = np.random.default_rng(0x313)
 _MULTIPLY = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * U(2) + U(1)
 _ADD = _rng.integers(0, 2**64, HASHES, dtype=np.uint64)

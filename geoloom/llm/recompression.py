@@ -40,9 +40,8 @@ PARSE_BYTES = 1 << 20
 CHUNK_BYTES = 4 << 20
 LEAST_CHUNKS, ROWS_PER_CHUNK = 256, 128
 
-_WORD = common.RollingHash(0xA11CE)
-_EXACT = (common.RollingHash(0xB0B), common.RollingHash(0xCAFE))
-
+_WORD = common.SpanHash(0xA11CE)
+_EXACT = (common.SpanHash(0xB0B), common.SpanHash(0xCAFE))
 
 
 class Level:
@@ -159,6 +158,19 @@ def _least(name: np.ndarray, first: np.ndarray, last: np.ndarray, total: int) ->
     return now
 
 
+def folded(h: np.ndarray, at: np.ndarray, k: int, odd: int) -> np.ndarray:
+    """A hash of the k values of h from each place in `at`: stretches of 1, 2, 4 ... values are mixed from their halves."""
+    out, size = np.full(len(at), U(k)), 1
+    while size <= k:
+        if k & size:
+            out = common.mix(out * U(odd) + h[at])
+            at = at + size
+        size *= 2
+        if size <= k:
+            h = common.mix(h[: -(size // 2)] * U(odd) + h[size // 2 :])
+    return out
+
+
 class Words:
     """The words of a batch of texts."""
 
@@ -172,12 +184,15 @@ class Words:
     def sequences(self, at: np.ndarray, window: int) -> np.ndarray:
         """128 bits for each window that begins at one of the words `at`."""
         out = np.empty((len(at), 2), np.uint64)
+        if not len(at):
+            return out
+        covered = np.zeros(len(self.starts) + 1, np.int64)
+        np.add.at(covered, at, 1)
+        np.add.at(covered, at + window, -1)
+        inside = np.cumsum(covered[:-1]) > 0
+        words, place = np.flatnonzero(inside), np.cumsum(inside)[at] - 1
         for c, h in enumerate(_EXACT):
-            w = h.spans(self.raw, self.starts, self.ends)
-            sums = np.zeros(len(w) + 1, np.uint64)
-            h.grow(len(w) + 1)
-            np.cumsum(w * h.powers[: len(w)], out=sums[1:])
-            out[:, c] = common.mix((sums[at + window] - sums[at]) * h.inverses[at])
+            out[:, c] = folded(h.spans(self.raw, self.starts[words], self.ends[words]), place, window, h.odd)
         return out
 
     def kept(self, remove: np.ndarray) -> list[bytes]:
@@ -316,10 +331,10 @@ def _remove(window: int, rounds: int, form: str, names: list[str]):
 
 
 def chunked(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
-    """docs with a column chunk, of which there are so many that each holds a bounded share of the text."""
+    """docs with a column chunk, of which there are so many that each holds a bounded share of the text; rows without an id are spread by their text."""
     rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(common.text_column(docs, text)))).first()
     n = max(1, -(-int(size or 0) // CHUNK_BYTES), min(LEAST_CHUNKS, -(-rows // ROWS_PER_CHUNK)))
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")), n
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", text), F.lit(n)).cast("int")), n
 
 
 def _apply(docs: DataFrame, window: int, rounds: int, form: str) -> DataFrame:
