@@ -91,7 +91,8 @@ class Codec:
         # units of the cache may be cut at spaces only for patterns known to start a pre-token there
         self.cache = UnitCache(self._encode) if pattern == public_tokenizers.PATTERN else None
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, flat, and how many each has."""
         split = [[t.encode() for t in self.split(text)] for text in texts]
         known: dict[bytes, bytes] = {}
         for t in {t for s in split for t in s}:
@@ -100,12 +101,18 @@ class Codec:
         rest = [t for t, ids in known.items() if not ids]
         for t, ids in zip(rest, self.model.encode([characters(t) for t in rest], num_threads=1) if rest else [], strict=True):
             known[t] = struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join([known[t] for t in s]) for s in split]
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, little-endian unsigned 32-bit."""
-        for raw in self.cache.texts(texts) if self.cache else self._encode(texts):
-            yield np.frombuffer(raw, "<u4")
+        made = [b"".join([known[t] for t in s]) for s in split]
+        return np.frombuffer(b"".join(made), "<u4"), np.array([len(m) // 4 for m in made], np.int64)
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, little-endian unsigned 32-bit; null has none."""
+        if self.cache:
+            ids, bounds = self.cache.rows(*common.utf8(texts))
+        else:
+            ids, counts = self._encode([t or "" for t in texts.to_pylist()])
+            bounds = np.concatenate([[0], np.cumsum(counts)])
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield ids[a:b]
 
     def decode(self, ids: np.ndarray) -> bytes:
         ids = ids.astype(np.int64)
@@ -124,7 +131,7 @@ def _run(path: str, pattern: str, make, names: list[str], types: list):
         own = codec(path, pattern)
         for batch in batches:
             for part in common.slices(batch):
-                made = [make(own, ids) for ids in own.encode(part.column(1).to_pylist())]
+                made = [make(own, ids) for ids in own.encode(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([m[i] for m in made], t) for i, t in enumerate(types))], names=["doc_id", *names])
 
     return run
