@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import math
 import os
 import random
 import re
@@ -341,25 +342,67 @@ def test_toxicity_on_held_out_labels(spark):
     held = [(got[r.doc_id].predicted, r.toxic) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.doc_id in got and got[r.doc_id].held_out]
     assert sum(p == y for p, y in held) / len(held) > 0.95
     assert all(0 <= r.score <= 1 for r in got.values())
+    assert sum(bool(r.evidence) for r in got.values()) >= len(got) - 2  # all that share a word with an example
+
+
+def _toxic_index(rng, n=400, words=40):
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(words)], k=rng.randrange(1, 12))) for _ in range(n - 1)] + [""]
+    bags = toxicity_knn.terms(pa.array(texts))
+    vocabulary = np.unique(bags[1])
+    held = np.bincount(np.searchsorted(vocabulary, bags[1]))
+    return texts, toxicity_knn.Index(list(range(n)), bags, [i % 2 for i in range(n)], vocabulary, held, n, (1.0, 0.5)), held
+
+
+def test_terms_are_words():
+    of, h, count = toxicity_knn.terms(pa.array(["Ünï x_y ünï", None, "", "  ", "a\u00a0b—c A"]))
+    number = {int(x): i for i, x in enumerate(dict.fromkeys(h.tolist()))}
+    assert sorted(zip(of.tolist(), count.tolist())) == [(0, 1), (0, 1), (0, 2), (4, 1), (4, 1), (4, 2)] and len(number) == 6
 
 
 def test_nearest_examples_are_exact():
     rng = random.Random(3)
-    words = [f"w{i}" for i in range(30)]
-    bags = [Counter(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(300)]
-    index = toxicity_knn.Index(list(range(300)), bags, [i % 2 for i in range(300)], words, [10] * 30, 300, (1.0, 1.0))
-    dense = np.zeros((300, 30))
-    for e, (t, w) in enumerate(index.vectors):
-        dense[e, t] = w
-    for _ in range(50):
-        t, w = index.vector(Counter(rng.choices(words, k=5)))
-        q = np.zeros(30)
-        q[t] = w
-        s = np.round(dense @ q, 9)
-        least = np.sort(s)[-toxicity_knn.NEIGHBOURS]
-        want = sorted(((x, e) for e, x in enumerate(s.tolist()) if x >= least and x > 0), key=lambda x: (-x[0], x[1]))
-        got = index.search(t, w, toxicity_knn.NEIGHBOURS)
-        assert [e for _, e in got] == [e for _, e in want] and np.allclose([x for x, _ in got], [x for x, _ in want])
+    texts, index, held = _toxic_index(rng)
+    queries = [*texts[:200], "w1 unknown words here", "nothing known", "", *("w2 " * 40 + f"w{i}" for i in range(40))]
+    of, h, count = toxicity_knn.terms(pa.array(queries))
+    s = index.similarities(*index._vectors(of, h, count, len(queries)), len(queries))
+
+    def vector(t):  # by hand: all words, those that no example has by the factor of unknown ones
+        w = Counter(t.split())
+        x = {}
+        for word, n in w.items():
+            place, known = toxicity_knn._places(index.vocabulary, toxicity_knn.terms(pa.array([word]))[1])
+            x[word] = (1 + math.log(n)) * (index.factor[place[0]] if known[0] else index.unknown)
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {k: v / size for k, v in x.items()}
+
+    examples, blocks_left = [vector(texts[i]) for i in index.ids], 0
+    for q, t in enumerate(queries):
+        x = vector(t)
+        want = np.array([sum(v * e.get(k, 0) for k, v in x.items()) for e in examples])
+        least = np.sort(want)[-toxicity_knn.NEIGHBOURS]
+        near = [e for e in range(len(want)) if want[e] >= least - 1e-12 and want[e] > 0]
+        assert np.allclose(s[q][near], want[near], atol=1e-8)
+        assert (s[q][np.setdiff1d(np.arange(len(want)), near)] <= max(0, least) + 1e-8).all()
+        blocks_left += int((s[q] == -1).any())
+    assert blocks_left > len(queries) // 4  # blocks were passed over
+    alone = [index.scores(pa.array([t]), True) for t in queries[:50]]
+    both = index.scores(pa.array(queries), True)
+    assert [x[0][0] for x in alone] == both[0][:50].tolist() and [x[1][0] for x in alone] == both[1][:50]
+
+
+def test_weights_tell_labels_apart():
+    g = toxicity_knn.likelihood_ratio(np.array([50, 0, 25, 1]), np.array([0, 50, 25, 0]), 100, 100)
+    assert g[0] > 50 and abs(g[0] - g[1]) < 1e-9 and g[2] < 1e-9 and 0 < g[3] < 3
+
+
+def test_scores_are_alike_however_rows_are_dealt(spark):
+    rows = [(i // 2, f"word{i} common " + ("bad " * (i % 3) if i % 4 < 2 else "good stuff")) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id bigint, toxic int")
+    got = set()
+    for n in (1, 3, 5):
+        scored = toxicity_knn.score(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(n), labels)
+        got.add(tuple(sorted((r.doc_id, r.score, r.evidence) for r in scored.collect())))
+    assert len(got) == 1
 
 
 @pytest.mark.parametrize("form", media_sniff.STORED)
