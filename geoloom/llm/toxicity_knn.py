@@ -23,15 +23,15 @@ from geoloom.llm import common
 from geoloom.llm.common import U
 
 #: Labelled rows of each label that the index may hold (of more, those with the least hash of doc_id), and bytes of text that one may have.
-EXAMPLES, EXAMPLE_BYTES = 2048, 1 << 15
+EXAMPLES, EXAMPLE_BYTES = 1024, 1 << 15
 NEIGHBOURS, BLOCK = 15, 64
 THRESHOLD = 0.7
 #: Added to every term's log-likelihood ratio, so that all words count; it is what words that no example has count by.
 FLOOR = 0.1
 #: Blocks that are read before the bounds of the others are compared, and texts that are searched for at once.
-FIRST, TEXTS = 2, 256
+FIRST, TEXTS = 2, 128
 #: Terms in more than one of so many examples are kept as a matrix, the others as lists.
-DENSE = 8
+DENSE = 24
 
 _TERM = common.SpanHash(0x70C5)
 _RESULT = "doc_id long, score double, evidence string"
