@@ -148,7 +148,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """doc_id, the number of ids, and digests of the ids and of the bytes that decoding them gives back."""
+    """doc_id, the number of ids, and digests of the ids and of the bytes that decoding them gives back. Null and empty texts have no ids; repeated rows stay; other columns are not read."""
 
     def make(own: Codec, ids: np.ndarray) -> tuple:
         return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
@@ -170,4 +170,5 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and what they decode to, as digests, of all documents."""
     return digests(common.table(spark, sf_dir, "documents"))

@@ -22,7 +22,7 @@ LEAST_WORDS, LEAST_SHARE = 20, 0.2
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Rows of lines above their limit that may be broadcast, about 30 bytes each.
 MAX_LINES = 100_000
-#: Low bits that hold a word's place where windows are sorted by hash; longer texts take more.
+#: Low bits that hold a word's place where windows are sorted by hash; longer texts take more (a string cannot hold 2**28 windows).
 PLACE_BITS, LONG_PLACE_BITS = 20, 28
 
 
@@ -41,16 +41,12 @@ def normalised(line: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(bare, "[0-9]", "0"), f"[{SPACE}]+", " "))
 
 
-def _same(w: Column, p: Column, q: Column) -> Column:
-    """The three words at p are those at q; q may be null."""
-    return F.coalesce((F.get(w, p) == F.get(w, q)) & (F.get(w, p + 1) == F.get(w, q + 1)) & (F.get(w, p + 2) == F.get(w, q + 2)), F.lit(False))
-
-
 def _repeats(rows: DataFrame) -> DataFrame:
     """rows with w; adds n_repeat_words: words in windows of three that come twice or more.
 
-    Windows are sorted by hash with their place in the low bits, so equal ones are neighbours; what looks equal
-    is compared by its words.
+    Windows are sorted by hash with their place in the low bits, so equal ones are neighbours. Those whose hash
+    comes once are unique; the others are sorted by their words, and neighbours compared. So the hash, of which
+    long texts keep fewer bits, decides nothing but how many windows are compared by their words.
     """
     n = F.size("w")
     bits = F.when(n < 1 << PLACE_BITS, F.lit(PLACE_BITS)).otherwise(F.lit(LONG_PLACE_BITS))
@@ -61,9 +57,11 @@ def _repeats(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("s", F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window))).otherwise(F.array().cast("array<bigint>")))
     beside = lambda x, i, by: F.coalesce(high(x) == high(F.get("s", i + by)), F.lit(False))
     rows = rows.withColumn("c", F.filter("s", lambda x, i: beside(x, i, -1) | beside(x, i, 1))).drop("s")
-    other = lambda i, by: place(F.get("c", i + by))
-    rows = rows.withColumn("c", F.filter("c", lambda x, i: _same(F.col("w"), place(x), other(i, -1)) | _same(F.col("w"), place(x), other(i, 1))))
-    rows = rows.withColumn("c", F.sort_array(F.transform("c", place)))
+    text = lambda p: F.concat_ws(" ", F.get("w", p), F.get("w", p + 1), F.get("w", p + 2))
+    rows = rows.withColumn("c", F.sort_array(F.transform("c", lambda x: F.struct(text(place(x)).alias("k"), place(x).alias("p")))))
+    equal = lambda x, i, by: F.coalesce(x["k"] == F.get("c", i + by)["k"], F.lit(False))
+    rows = rows.withColumn("c", F.filter("c", lambda x, i: equal(x, i, -1) | equal(x, i, 1)))
+    rows = rows.withColumn("c", F.sort_array(F.transform("c", lambda x: x["p"])))
     covered = F.aggregate(F.transform("c", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("c", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     return rows.withColumn("n_repeat_words", covered.cast("long")).drop("c", "bits")
 
@@ -130,6 +128,7 @@ def _judged(named: DataFrame, share: float, least: int) -> DataFrame:
 
 
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents, with their source as host."""
     return rules(common.table(spark, sf_dir, "documents"))
 
 

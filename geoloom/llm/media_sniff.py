@@ -271,7 +271,10 @@ def identify(media: DataFrame) -> DataFrame:
 
 
 def carve(media: DataFrame) -> DataFrame:
-    """doc_id, number, format and file (its bytes) of every media file in each row of media."""
+    """doc_id, number, format and file (its bytes) of every media file in each row of media (doc_id, media).
+
+    Null and empty media have none; repeated rows have theirs each; other columns are not read.
+    """
     rows = media.select(F.col("doc_id").cast("long").alias("doc_id"), "media")
     files = pa.list_(pa.struct([("number", pa.int32()), ("format", pa.string()), ("file", pa.binary())]))
     make = lambda b: ([{"number": i, "format": f, "file": b[s:e]} for i, (f, s, e) in enumerate(sniff(b or b""))],)
@@ -290,6 +293,7 @@ def _digest(n_bytes: int, media: bytes, declared: str) -> tuple:
 
 
 def op1_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is found in the media that all documents are stored as, and the payloads read from it."""
     stored = store(common.table(spark, sf_dir, "documents")).select("doc_id", "media", "n_bytes", "declared")
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return _map(stored, schema, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()], lambda media, n, declared: _digest(n, media, declared), "media")

@@ -367,7 +367,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """docs, all columns, with repeats removed from text; rows that no word is left of go, n_chars (if any) is counted anew."""
+    """docs, all columns, with repeats removed from text; rows that no word is left of go, n_chars (if any) is counted anew. A null text becomes an empty one and stays."""
     named = docs.select(*(F.col(f"`{c}`").alias(f"_{c}") for c in docs.columns if c != "text"), F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"))
     out = _apply(named, window, rounds, "replace").where("n_words = 0 or n_removed < n_words")
     made = {"text": F.col("kept_text")} | ({"n_chars": F.char_length("kept_text").cast("long")} if "n_chars" in docs.columns else {})
@@ -375,6 +375,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
 
 
 def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, words removed and a digest of those kept of all documents."""
     docs = common.table(spark, sf_dir, "documents")
     return _apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text")), WINDOW, ROUNDS, "digest")
 

@@ -31,9 +31,12 @@ _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 _JWT = re.compile(r"(?<![\w-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)", re.ASCII)
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s\\]+?)-----END \1-----")
+#: Lines of a key file may be apart by line feeds or, in quoted strings, by a backslash and n; headers come before the key.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:\s|\\[nr])*(?:[A-Z][A-Za-z-]{1,30}: [^\r\n\\]{1,200}(?:\s|\\[nr])+)*)([A-Za-z0-9+/=\s\\]+?)-----END \1-----")
+#: What an encrypted key in the older form says of its cipher.
+_CIPHER = re.compile(r"DEK-Info: [A-Z0-9-]+,(?:[0-9A-Fa-f]{16}){1,2}(?![0-9A-Fa-f])")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-_NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/_=-]|(?<=\\)n")
+_NOT_BASE64 = re.compile(r"\\[nr]|[^A-Za-z0-9+/_=-]")
 
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -47,26 +50,27 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
-def der(raw: bytes, at: int = 0, depth: int = 0) -> tuple[int, list | bytes, int] | None:
-    """The tag, the members or content, and the end of the element at a place; None if a length doesn't fit."""
-    if at + 2 > len(raw) or depth > 8:
+def der(raw: bytes, at: int = 0, stop: int | None = None, depth: int = 0) -> tuple[int, list | bytes, int] | None:
+    """The tag, the members or content, and the end of the element at a place before stop; None if a length doesn't fit."""
+    stop = len(raw) if stop is None else stop
+    if at + 2 > stop or depth > 8:
         return None
     tag, n, at = raw[at], raw[at + 1], at + 2
     if n & 0x80:
         size = n & 0x7F
-        if not 1 <= size <= 4 or at + size > len(raw):
+        if not 1 <= size <= 4 or at + size > stop:
             return None
         n, at = int.from_bytes(raw[at : at + size], "big"), at + size
         if n < 0x80:
             return None
     end = at + n
-    if end > len(raw):
+    if end > stop:
         return None
     if not tag & 0x20:
         return tag, raw[at:end], end
     members = []
     while at < end:
-        if (x := der(raw[:end], at, depth + 1)) is None:
+        if (x := der(raw, at, end, depth + 1)) is None:
             return None
         members.append(x)
         at = x[2]
@@ -136,8 +140,12 @@ def spans(text: str) -> list[tuple[int, str, int]]:
     pem = []
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            raw = unbase64(_NOT_BASE64.sub("", m[2]))
-            if private_key(raw) or ssh_key(raw):
+            raw = unbase64(_NOT_BASE64.sub("", m[3]))
+            if "Proc-Type: 4,ENCRYPTED" in m[2]:  # what is encrypted fills blocks of eight bytes
+                sound = m[1].endswith("PRIVATE KEY") and bool(_CIPHER.search(m[2])) and bool(raw) and len(raw) % 8 == 0
+            else:
+                sound = private_key(raw) or ssh_key(raw)
+            if sound:
                 pem.append((m.start(), "pem", m.end()))
     out += pem
     for m in _RUN.finditer(text):
@@ -190,7 +198,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
-    """docs with every span of text replaced by mask; all rows and columns stay, n_chars (if any) is counted anew."""
+    """docs with every span of text replaced by mask; all rows and columns stay, n_chars (if any) is counted anew. A null text becomes an empty one."""
     rest = [c for c in docs.columns if c != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"), "text string"])
     out = _apply(docs.select(common.text_column(docs).alias("text"), *(F.col(f"`{c}`") for c in rest)), [("text", pa.string())], schema, lambda t: (masked(t, spans(t), mask),))
@@ -200,6 +208,7 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of all documents."""
     found = find(common.table(spark, sf_dir, "documents"))
     line = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     base = F.filter("spans", lambda x: x["kind"].isin(*KINDS[:BASE]))

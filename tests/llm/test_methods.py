@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -469,3 +470,33 @@ def test_words_of_bytes():
     starts, ends, bounds = common.words(raw, offsets)
     assert [raw[s:e].tobytes().decode() for s, e in zip(starts, ends, strict=True)] == ["a", "b c", "d", "e", "f"]
     assert bounds.tolist() == [0, 2, 2, 2, 4, 5]
+
+
+def test_repeated_words_with_few_bits_of_hash(spark, monkeypatch):
+    """Windows whose hashes are equal by chance are told apart by their words."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "e", "f", "g"]) for _ in range(n)) for n in (3, 40, 120, 363, 363)]
+    monkeypatch.setattr(line_frequency, "PLACE_BITS", 60)
+    got = {r.doc_id: r.n_repeat_words for r in line_frequency.rules(_frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        seen = Counter(zip(w, w[1:], w[2:]))
+        covered = {p for j in range(len(w) - 2) if seen[tuple(w[j : j + 3])] > 1 for p in (j, j + 1, j + 2)}
+        assert got[i] == len(covered)
+
+
+def test_nested_keys_take_linear_time():
+    body = b"".join(_der(2, bytes([7] * 100)) for _ in range(30_000))
+    raw = _der(0x30, _der(0x30, _der(0x30, body)))
+    began = time.process_time()
+    assert secret_scan.der(raw)[2] == len(raw) and time.process_time() - began < 2
+
+
+def test_older_key_files():
+    body = base64.b64encode(bytes(range(64))).decode()
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    kinds = lambda t: [k for _, k, _ in secret_scan.spans(t) if k == "pem"]
+    assert kinds(key) == ["pem"] and kinds(key.replace("\n", "\\n")) == ["pem"]
+    assert kinds(key.replace("DEK-Info", "Dek-Info")) == [] and kinds(key.replace(body, body[:-4])) == []
+    plain = f"-----BEGIN RSA PRIVATE KEY-----\\n{base64.b64encode(RSA).decode()}\\n-----END RSA PRIVATE KEY-----"
+    assert kinds(plain) == ["pem"]
