@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out labels."""
 
 import base64
+import gzip
 import hashlib
 import json
 import math
@@ -440,7 +441,7 @@ def test_warc_records(spark, sf_dir):
         assert headers["WARC-Refers-To"] == own["WARC-Record-ID"] == r.refers_to and headers["WARC-Target-URI"] == own["WARC-Target-URI"]
         assert headers["WARC-Source-Payload-Digest"] == own["WARC-Payload-Digest"]
         if r.record_type == "metadata":
-            assert json.loads(block)["warc"] == own and headers["WARC-Concurrent-To"] == json.loads(block)["conversion"]
+            assert json.loads(block)["warc"] == [list(x) for x in source[r.page_id][0]] and headers["WARC-Concurrent-To"] == json.loads(block)["conversion"]
         else:
             assert b"<p>" not in block and b"track(3)" not in block
     with pytest.raises(ValueError):
@@ -500,3 +501,66 @@ def test_older_key_files():
     assert kinds(key.replace("DEK-Info", "Dek-Info")) == [] and kinds(key.replace(body, body[:-4])) == []
     plain = f"-----BEGIN RSA PRIVATE KEY-----\\n{base64.b64encode(RSA).decode()}\\n-----END RSA PRIVATE KEY-----"
     assert kinds(plain) == ["pem"]
+
+
+def test_warc_headers_and_codings(spark):
+    html = "<title>Käse</title><p>groß <a href='/x'>x</a></p>"
+    raw = html.encode("latin-1")
+    chunks = b"".join(b"%x\r\n%s\r\n" % (len(raw[i : i + 7]), raw[i : i + 7]) for i in range(0, len(raw), 7)) + b"0\r\n\r\n"
+    bodies = {
+        "plain": (b"content-type: text/html; charset=ISO-8859-1", raw),
+        "chunked": (b"Content-Type: text/html; charset=iso-8859-1\r\ntransfer-encoding: chunked", chunks),
+        "gzip": (b"CONTENT-TYPE: text/html; charset=iso-8859-1\r\nContent-encoding: gzip", gzip.compress(raw)),
+        "deflate": (b"Content-Type: text/html; charset=iso-8859-1\r\nContent-Encoding: deflate", zlib.compress(raw)),
+        "unknown": (b"Content-Type: text/html\r\nContent-Encoding: br", b"\x0b\x02\x80"),
+    }
+    made = []
+    for name, (fields, body) in bodies.items():
+        block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nset-cookie: b=2\r\n" + fields + b"\r\n\r\n" + body
+        headers = [("warc-type", "response"), ("WARC-Record-ID", f"<urn:{name}>"), ("WARC-Concurrent-To", "<urn:1>"), ("WARC-Concurrent-To", "<urn:2>"), ("WARC-Target-URI", "http://a.test/")]
+        made.append(warc_derivatives.record(headers, block))
+    request = warc_derivatives.record([("WARC-Type", "request"), ("WARC-Record-ID", "<urn:r>")], b"GET / HTTP/1.1\r\n\r\n")
+    rows = [(i, r) for i, r in enumerate([*made, request, None, b"", made[0][:-3], made[0].replace(b"Content-Length: ", b"Content-Length: x", 1)])]
+    out = warc_derivatives.derivatives(spark.createDataFrame(rows, "page_id bigint, record binary")).collect()
+    kinds = {i: sorted(r.record_type for r in out if r.page_id == i) for i, _ in rows}
+    assert [kinds[i] for i in range(5)] == [["conversion", "metadata"]] * 5 and kinds[5] == []
+    assert all(kinds[i] == ["error"] for i in range(6, 10)) and all(bool(r.error) == (r.record_type == "error") for r in out)
+    for r in out:
+        if r.record_type == "conversion":
+            text = warc_derivatives.parse(bytes(r.record))[1].decode()
+            assert text == ("" if r.page_id == 4 else "Käse\ngroß x")
+        elif r.record_type == "metadata":
+            told = json.loads(warc_derivatives.parse(bytes(r.record))[1])
+            assert [v for k, v in told["http"]["headers"] if k.lower() == "set-cookie"] == ["a=1", "b=2"]
+            assert [v for k, v in told["warc"] if k == "WARC-Concurrent-To"] == ["<urn:1>", "<urn:2>"]
+
+
+def test_warc_query_equals_brute_force(spark, sf_dir):
+    """The query's columns, from records made and read by hand."""
+    got = {(r.page_id, r.record_type): r for r in registry.queries()["op10_warc_derivatives"](spark, sf_dir).collect()}
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    assert len(got) == 2 * len(pages)
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    for p in pages:
+        payload = (p.html or "").encode()
+        for kind in ("metadata", "conversion"):
+            r = got[p.page_id, kind]
+            assert r.payload_digest == sha1(payload) and r.target_uri == (p.url or "")
+        text = warc_derivatives.text_of(p.html or "").encode()
+        assert got[p.page_id, "conversion"].block_digest == sha1(text)
+        assert got[p.page_id, "metadata"].n_links == len(re.findall(r"""(?i)<(?:a|img|link|script|iframe|area)\b[^<>]*?\b(?:href|src)\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s<>"']+)""", p.html or ""))
+
+
+def test_media_query_equals_brute_force(spark, sf_dir):
+    got = {r.doc_id: r for r in registry.queries()["op1_media_sniff"](spark, sf_dir).collect()}
+    for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        raw, r = (d.text or "").encode(), got[d.doc_id]
+        payload = raw + b" " * (192 - len(raw) % 192 if len(raw) % 192 or not raw else 0)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert r.media_bytes >= len(payload) // 300 and r.feature.split(":")[0] in media_sniff.STORED
+
+
+def test_identify_without_media(spark):
+    rows = media_sniff.identify(spark.createDataFrame([(1, None, "wav"), (2, b"", None)], "doc_id bigint, media binary, declared string")).collect()
+    assert all(r.format is None and r.files == [] and not r.corrected for r in rows) and len(rows) == 2
+    assert media_sniff.carve(spark.createDataFrame([(1, None)], "doc_id bigint, media binary")).collect() == []
