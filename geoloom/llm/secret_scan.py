@@ -214,4 +214,4 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"].isin(*KINDS[:BASE]))
     of = lambda kind: F.filter("spans", lambda x: x["kind"] == kind)
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS[:BASE]]
-    return found.select("doc_id", *counts, F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", line), ",").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", line), ",").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
