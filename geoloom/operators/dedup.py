@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import address, geo
 from geoloom.functions.text import filled, present, similarity
+from geoloom.operators.scratch import cut
 
 THRESHOLD = 0.85
 #: What the parts of a comparison weigh.
@@ -40,21 +42,27 @@ def pair_score(a: str, b: str) -> Column:
     return F.when(weight > 0, total / weight).otherwise(0.0)
 
 
-def similar_pairs(rows: DataFrame, block: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """id_a < id_b and score of rows of one block whose similarity reaches the threshold."""
+def similar_pairs(rows: DataFrame, block: Column, threshold: float = THRESHOLD, tile: int = 256) -> DataFrame:
+    """id_a < id_b and score of rows of one block whose similarity reaches the threshold; rows whose block is null are in none.
+
+    A block of more than `tile` rows is cut into tiles, and each pair of tiles is a key of its own, so that a hot
+    block is many tasks. Ids are unique.
+    """
     named = rows.select(block.alias("_block"), "id", F.struct(*FIELDS).alias("r")).where("_block IS NOT NULL")
-    a, b = named.select("_block", F.col("id").alias("id_a"), F.col("r").alias("a")), named.select("_block", F.col("id").alias("id_b"), F.col("r").alias("b"))
-    pairs = a.join(b, "_block").where("id_a < id_b")
-    return pairs.withColumn("score", F.round(pair_score("a", "b"), 9)).where(F.col("score") >= threshold).select("id_a", "id_b", "score")
+    sizes = named.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_tiles"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    dealt = named.join(sizes.drop("_n"), "_block").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int"))
+    first = dealt.select("_block", F.col("_own").alias("_t"), F.explode(F.sequence("_own", F.col("_tiles") - 1)).alias("_u"), F.col("id").alias("id_x"), F.col("r").alias("x"))
+    second = dealt.select("_block", F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_t"), F.col("_own").alias("_u"), F.col("id").alias("id_y"), F.col("r").alias("y"))
+    pairs = first.join(second, ["_block", "_t", "_u"]).where("_t < _u OR id_x < id_y")
+    low = F.col("id_x") < F.col("id_y")
+    ordered = pairs.select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"), F.when(low, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(low, F.col("y")).otherwise(F.col("x")).alias("b"))
+    return ordered.withColumn("score", F.round(pair_score("a", "b"), 9)).where(F.col("score") >= threshold).select("id_a", "id_b", "score")
 
 
 def blocked_pairs(rows: DataFrame, blocks: list[Column], threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs of a union of blocks, each once. Blocks must be small; a pair in none of them is not found."""
-    found = None
-    for i, block in enumerate(blocks):
-        one = similar_pairs(rows, F.concat(F.lit(f"{i}:"), block.cast("string")), threshold)
-        found = one if found is None else found.unionByName(one)
-    return found.dropDuplicates(["id_a", "id_b"])
+    """The pairs of a union of blocks, each once. A pair in none of them is not found; large blocks are tiled."""
+    keys = F.array_compact(F.array(*(F.concat(F.lit(f"{i}:"), block.cast("string")) for i, block in enumerate(blocks))))
+    return similar_pairs(rows.withColumn("_key", F.explode(keys)), F.col("_key"), threshold).dropDuplicates(["id_a", "id_b"])
 
 
 #: Edge of a cell in km: at 0.85 two rows with coordinates are at most 5 * 0.15 / 0.3 = 2.5 km apart, whatever else is given.
@@ -134,48 +142,32 @@ def _few_edits(a: str, b: str, share: float) -> Column:
 def leaders(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """id and leader of every id, as a walk in the order of ids makes them: a row joins the least leader that it
     is similar to, or becomes one. pairs: id_a < id_b. Rounds decide all rows whose lesser neighbours are decided."""
-    spark = pairs.sparkSession
+    pairs = cut(pairs, "pairs")  # read in every round
     # a row without lesser neighbours leads
-    undecided = pairs.select(F.col("id_b").alias("id")).distinct()
-    state = ids.join(undecided, "id", "left_anti").select("id", F.col("id").alias("leader"))
-    rest = undecided
-    while True:
-        state, rest = _cut(spark, state), _cut(spark, rest)
-        if not rest.limit(1).count():
-            return state
-        known = state.withColumnRenamed("id", "id_a")
-        around = pairs.join(rest.withColumnRenamed("id", "id_b"), "id_b").join(known, "id_a", "left")
-        seen = around.groupBy("id_b").agg(F.min(F.when(F.col("leader") == F.col("id_a"), F.col("id_a"))).alias("leader"), F.min(F.when(F.col("leader").isNull(), F.col("id_a"))).alias("open"))
+    rest = cut(pairs.select(F.col("id_b").alias("id")).distinct(), "open")
+    decided = [ids.join(rest, "id", "left_anti").select("id", F.col("id").alias("leader"))]
+    known = pairs.select(F.col("id_a").alias("id")).distinct().join(rest, "id", "left_anti").select("id", F.col("id").alias("leader"))
+    while rest.limit(1).count():
+        near = pairs.join(rest.withColumnRenamed("id", "id_b"), "id_b").join(known.withColumnRenamed("id", "id_a"), "id_a", "left")
+        seen = near.groupBy("id_b").agg(F.min(F.when(F.col("leader") == F.col("id_a"), F.col("id_a"))).alias("leader"), F.min(F.when(F.col("leader").isNull(), F.col("id_a"))).alias("open"))
         # a leader below every undecided neighbour is the least one for good; without open neighbours the row is decided
         done = seen.where("open IS NULL OR leader < open").select(F.col("id_b").alias("id"), F.coalesce("leader", "id_b").alias("leader"))
-        done = _cut(spark, done)
-        state = state.unionByName(done)
-        rest = rest.join(done.select("id"), "id", "left_anti")
+        done = cut(done, "decided")  # a round writes the rows it decides, and those that are left
+        decided.append(done)
+        known = known.unionByName(done)
+        rest = cut(rest.join(done.select("id"), "id", "left_anti"), "open")
+    return reduce(DataFrame.unionByName, decided)
 
 
-def _cut(spark, df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder."""
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/geoloom-checkpoints")
-    return df.checkpoint()
+def leaders_in_groups(rows: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
+    """id and leader within groups (pages, sites); a row whose key is null leads itself."""
+    return leaders(similar_pairs(rows, F.col(key), threshold), rows.select("id"))
 
 
-def leaders_in_groups(rows: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
-    """id and leader within small groups (pages, sites): the walk itself, one group in a call."""
-    pairs = similar_pairs(rows, F.col(key), threshold).join(rows.select(F.col("id").alias("id_a"), F.col(key).alias("_k")), "id_a")
-    edges = rows.select(F.col(key).alias("_k"), F.col("id").alias("id_b"), F.lit(None).cast("long").alias("id_a")).unionByName(pairs.select("_k", "id_b", "id_a"))
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        near = group.dropna().groupby("id_b")["id_a"].apply(set).to_dict()
-        led: dict[int, int] = {}
-        for i in sorted(group["id_b"].unique()):
-            found = [a for a in near.get(i, ()) if led[int(a)] == a]
-            led[int(i)] = int(min(found)) if found else int(i)
-        return pd.DataFrame({"id": list(led), "leader": list(led.values())})
-
-    return edges.groupBy("_k").applyInPandas(walk, "id long, leader long")
+def merge_similar(rows: DataFrame, pairs: DataFrame, lists=("phone", "email", "source_url")) -> DataFrame:
+    """One row for each leader among similar rows: merge() over the rows that it leads."""
+    led = rows.join(leaders(pairs, rows.select("id")), "id")
+    return merge(led, "leader", lists=lists)
 
 
 def merge(rows: DataFrame, key: str, order: str = "id", lists=("phone", "email", "source_url")) -> DataFrame:

@@ -53,7 +53,7 @@ def tables(nodes: DataFrame) -> DataFrame:
     outer = nodes.where((F.col("tag") == "table") & F.lower("text").rlike("address|location|office"))
     rows = inside(outer, nodes.where(F.col("tag") == "tr")).select("page_id", "node_id", "end_id", "text", "attrs")
     rows = rows.dropDuplicates(["page_id", "node_id"]).where(F.col("text").rlike(CITY_STATE))
-    cells = inside(rows, nodes.where(F.col("tag").isin("td", "th"))).groupBy("page_id", "o_node").agg(F.min_by("text", "node_id").alias("name"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("node_id", "text"))), 2, 50), lambda x: x["text"]), ", ").alias("address"))
+    cells = inside(rows, nodes.where(F.col("tag").isin("td", "th"))).groupBy("page_id", "o_node").agg(F.min_by("text", "node_id").alias("name"), F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x, i: i > 0), lambda x: x["text"]), ", ").alias("address"))
     return cells.select("page_id", F.col("o_node").alias("seq"), "name", "address")
 
 
@@ -133,7 +133,7 @@ def contacts(nodes: DataFrame) -> DataFrame:
     href = attr("href")
     social = F.regexp_extract(href, r"(facebook|twitter|linkedin|instagram)\.com", 1)
     kind = F.when(href.startswith("tel:"), "phone").when(href.startswith("mailto:"), "email").when(href.startswith("http") & (social != ""), social).when(href.startswith("http"), "website")
-    value = F.when(href.startswith("tel:"), F.trim(F.substring(href, 5, 100))).when(href.startswith("mailto:"), F.lower(F.trim(F.get(F.split(F.substring(href, 8, 300), r"\?"), F.lit(0))))).when(social != "", href).otherwise(F.regexp_extract(href, r"^(https?://[^/?#]+)", 1))
+    value = F.when(href.startswith("tel:"), F.trim(F.expr("substring(attrs['href'], 5)"))).when(href.startswith("mailto:"), F.lower(F.trim(F.get(F.split(F.expr("substring(attrs['href'], 8)"), r"\?"), F.lit(0))))).when(social != "", href).otherwise(F.regexp_extract(href, r"^(https?://[^/?#]+)", 1))
     return nodes.where(F.col("tag") == "a").select("page_id", kind.alias("kind"), value.alias("value")).where("kind IS NOT NULL AND value <> ''").distinct()
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from geoloom.functions import urls
-from geoloom.operators.dedup import _cut
+from geoloom.operators.scratch import cut
 
 
 @F.pandas_udf(StringType())
@@ -51,13 +51,12 @@ def walk(links: DataFrame, starts: DataFrame, depth: int = 3, most: int | None =
     Each round joins the frontier with the links and takes what is new; most bounds the pages of a walk,
     nearest first and then by address.
     """
-    spark = links.sparkSession
-    seen = _cut(spark, starts.select("url", F.lit(0).alias("depth")).distinct())
-    frontier = seen
+    frontier = cut(starts.select("url", F.lit(0).alias("depth")).distinct(), "frontier")
+    seen = frontier
     for d in range(1, depth + 1):
         new = frontier.join(links, frontier["url"] == links["src"]).select(F.col("dst").alias("url")).distinct()
-        frontier = _cut(spark, new.join(seen, "url", "left_anti").select("url", F.lit(d).alias("depth")))
+        frontier = cut(new.join(seen, "url", "left_anti").select("url", F.lit(d).alias("depth")), "frontier")
         if not frontier.limit(1).count():
             break
-        seen = _cut(spark, seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # each round's table is written once
     return seen if most is None else seen.orderBy("depth", "url").limit(most)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import address
-from geoloom.functions.text import contains_any, matches_any, squeezed
+from geoloom.functions.text import contains_any, matches_any
 
 #: Patterns of contacts, and words that mark addresses.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
@@ -156,5 +156,3 @@ def parse_address(c: Column) -> Column:
     return F.struct(first(STREET).alias("street"), first(REGION, 1).alias("state"), postal.alias("postal"), country.alias("country"), first(US_PHONE).alias("phone"), F.lower(first(EMAIL)).alias("email"))
 
 
-def normal_line(c: Column) -> Column:
-    return squeezed(c)

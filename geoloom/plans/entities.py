@@ -16,7 +16,7 @@ QUERIES, SQL = _C.queries, _C.sql
 #: All rows and a copy of each with a short street word, moved by about 60 metres.
 _COLUMNS = "location_name, location_address, latitude, longitude, country_iso3, postcode, state, street_or_city, activity, footprint, height, usage_share, source_url, phone, email"
 _MOVED = "location_name, replace(location_address, ' Street', ' St') AS location_address, latitude + 0.0005 AS latitude, longitude, country_iso3, postcode, state, street_or_city, activity, footprint, height, usage_share, source_url, phone, email"
-#: Rows of a state whose addresses begin with the same number are compared; without a number, with none.
+#: Rows of a state whose addresses begin with the same number are compared, and rows with equal postcodes or names.
 _BLOCK = "state || '|' || nullif(regexp_extract(location_address, '^([0-9]+)', 1), '')"
 DOUBLED = f"(SELECT *, {_BLOCK} AS block FROM (SELECT id, {_COLUMNS} FROM ({LOC}) l UNION ALL SELECT id + 100000000, {_MOVED} FROM ({LOC}) l) u)"
 
@@ -61,39 +61,44 @@ _PARTS = (
 )
 _WEIGHT = " + ".join(f"CASE WHEN {has} THEN {w} ELSE 0.0 END" for w, has, _ in _PARTS)
 _TOTAL = " + ".join(f"CASE WHEN {has} THEN {w} * ({s}) ELSE 0.0 END" for w, has, s in _PARTS)
-_PAIRS = f"SELECT a.id AS id_a, b.id AS id_b, round(CAST(({_TOTAL}) AS DOUBLE) / CAST(({_WEIGHT}) AS DOUBLE), 9) AS score FROM {DOUBLED} a JOIN {DOUBLED} b ON a.block = b.block AND a.id < b.id WHERE ({_WEIGHT}) > 0"
+_PAIRS = f"SELECT a.id AS id_a, b.id AS id_b, round(CAST(({_TOTAL}) AS DOUBLE) / CAST(({_WEIGHT}) AS DOUBLE), 9) AS score FROM {DOUBLED} a JOIN {DOUBLED} b ON (a.block = b.block OR nullif(a.postcode, '') = nullif(b.postcode, '') OR lower(nullif(a.location_name, '')) = lower(nullif(b.location_name, ''))) AND a.id < b.id WHERE ({_WEIGHT}) > 0"
 
 
 @_C.add(f"SELECT id_a, id_b, round(score, 6) AS score FROM ({_PAIRS}) p WHERE score >= 0.85")
 def similarity_pairs(spark, sf_dir):
-    return dedup.similar_pairs(doubled(spark, sf_dir), F.col("block")).withColumn("score", F.round("score", 6))
+    return _similar(doubled(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-#: The walk in three rounds, which is as deep as these pairs chain.
-_LED = f"""WITH p AS (SELECT * FROM ({_PAIRS}) p WHERE score >= 0.85), d AS (SELECT id FROM {DOUBLED} d),
-    l1 AS (SELECT id FROM d WHERE id NOT IN (SELECT id_b FROM p)), m1 AS (SELECT DISTINCT id_b AS id FROM p WHERE id_a IN (SELECT id FROM l1)),
-    l2 AS (SELECT id FROM d WHERE id NOT IN (SELECT id FROM l1) AND id NOT IN (SELECT id FROM m1) AND id NOT IN (SELECT id_b FROM p WHERE id_a NOT IN (SELECT id FROM m1))),
-    l AS (SELECT id FROM l1 UNION ALL SELECT id FROM l2), led AS (SELECT d.id, CASE WHEN d.id IN (SELECT id FROM l) THEN d.id ELSE min(p.id_a) END AS leader FROM d LEFT JOIN p ON p.id_b = d.id AND p.id_a IN (SELECT id FROM l) GROUP BY d.id)"""
+def _similar(rows):
+    return dedup.blocked_pairs(rows, [F.col("block"), text.filled(F.col("postcode")), F.lower(text.filled(F.col("location_name")))])
+
+
+#: The walk itself, a row a step.
+_WALK = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM ({{pairs}}) p WHERE score >= 0.85),
+    n AS MATERIALIZED (SELECT d.id, row_number() OVER (ORDER BY d.id) AS i, coalesce(list(p.id_a) FILTER (WHERE p.id_a IS NOT NULL), []) AS near FROM {DOUBLED} d LEFT JOIN p ON p.id_b = d.id GROUP BY d.id),
+    w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS l UNION ALL SELECT n.i, CASE WHEN list_has_any(n.near, w.l) THEN w.l ELSE list_append(w.l, n.id) END FROM w JOIN n ON n.i = w.i + 1),
+    led AS (SELECT id, coalesce(list_min(list_intersect(near, l)), id) AS leader FROM n, (SELECT arg_max(l, i) AS l FROM w) x)"""
+_LED = _WALK.format(pairs=_PAIRS)
 
 
 @_C.add(f"{_LED} SELECT id, leader FROM led")
 def fuzzy_leaders(spark, sf_dir):
     rows = doubled(spark, sf_dir)
-    return dedup.leaders(dedup.similar_pairs(rows, F.col("block")), rows.select("id"))
+    return dedup.leaders(_similar(rows), rows.select("id"))
+
 
+#: Within a block only, as a page's or a site's rows are compared.
+_OR = _PAIRS[_PAIRS.index("ON (") : _PAIRS.index(" AND a.id < b.id")]
 
-@_C.add(SQL["fuzzy_leaders"])
+
+@_C.add(f"{_WALK.format(pairs=_PAIRS.replace(_OR, 'ON a.block = b.block'))} SELECT id, leader FROM led")
 def fuzzy_leaders_grouped(spark, sf_dir):
-    return dedup.leaders_in_groups(doubled(spark, sf_dir).withColumn("block", F.coalesce("block", F.concat(F.lit("#"), F.col("id").cast("string")))), "block")
+    return dedup.leaders_in_groups(doubled(spark, sf_dir), "block")
 
 
 #: The same without a block: each row is compared with each.
-_WHOLE = _PAIRS.replace("ON a.block = b.block AND a.id < b.id", "ON a.id < b.id")
-#: The walk itself, a row a step.
-_WALKED = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM ({_WHOLE}) p WHERE score >= 0.85),
-    n AS MATERIALIZED (SELECT d.id, row_number() OVER (ORDER BY d.id) AS i, coalesce(list(p.id_a) FILTER (WHERE p.id_a IS NOT NULL), []) AS near FROM {DOUBLED} d LEFT JOIN p ON p.id_b = d.id GROUP BY d.id),
-    w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS l UNION ALL SELECT n.i, CASE WHEN list_has_any(n.near, w.l) THEN w.l ELSE list_append(w.l, n.id) END FROM w JOIN n ON n.i = w.i + 1),
-    led AS (SELECT id, coalesce(list_min(list_intersect(near, l)), id) AS leader FROM n, (SELECT arg_max(l, i) AS l FROM w) x)"""
+_WHOLE = _PAIRS.replace(_OR + " AND a.id < b.id", "ON a.id < b.id")
+_WALKED = _WALK.format(pairs=_WHOLE)
 
 
 @_C.add(f"SELECT id_a, id_b, round(score, 6) AS score FROM ({_WHOLE}) p WHERE score >= 0.85")
@@ -135,6 +140,19 @@ def _longest(n: str) -> str:
     return f"arg_max({n}, [length(CAST({n} AS VARCHAR)), -id]) FILTER (WHERE {n} IS NOT NULL) AS {n}"
 
 
+_LISTED = "string_agg(DISTINCT {n}, ',' ORDER BY {n}) FILTER (WHERE {n} <> '') AS {n}"
+
+
+@_C.add(f"""{_LED} SELECT leader, {', '.join(_longest(n) for n in ('location_name', 'location_address', 'postcode', 'latitude', 'activity'))}, {_LISTED.format(n='phone')}, {_LISTED.format(n='email')}, {_LISTED.format(n='source_url')}, count(*) AS merged_from
+    FROM (SELECT l.leader, d.* FROM led l JOIN {DOUBLED} d ON d.id = l.id) m GROUP BY leader""")
+def merge_duplicates(spark, sf_dir):
+    """The locations themselves: similar rows made one, with the longest values and all contacts."""
+    rows = doubled(spark, sf_dir)
+    merged = dedup.merge_similar(rows, _similar(rows))
+    listed = (F.nullif(F.array_join(n, ","), F.lit("")).alias(n) for n in ("phone", "email", "source_url"))
+    return merged.select("leader", "location_name", "location_address", "postcode", "latitude", "activity", *listed, "merged_from")
+
+
 @_C.add(f"SELECT state, {_longest('location_name')}, {_longest('location_address')}, {_longest('postcode')}, string_agg(DISTINCT phone, ',' ORDER BY phone) FILTER (WHERE phone <> '') AS phone, CAST(max(quality_score) AS INT) AS quality_score, count(*) AS merged_from FROM {SCORED} s GROUP BY state")
 def merge_longest(spark, sf_dir):
     rows = enrich.with_quality(locations(spark, sf_dir)).drop("footprint")
