@@ -133,6 +133,14 @@ def joined_address(*parts: Column) -> Column:
     return F.array_join(F.array_compact(F.array(*(filled(p) for p in parts))), ", ")
 
 
+def templated_address(street_: Column, city: Column, region: Column, postal: Column, country: Column | None = None) -> Column:
+    """'street, city, region postal', missing parts empty, and the country after another comma if there is one."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    out = F.trim(F.concat(part(street_), F.lit(", "), part(city), F.lit(", "), part(region), F.lit(" "), part(postal)))
+    return out if country is None else F.when(filled(country).isNotNull(), F.concat(out, F.lit(", "), country)).otherwise(out)
+
+
+#: Street words.
 STREET_SUFFIX = r"(Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Boulevard|Blvd|Way|Court|Ct|Place|Pl|Square|Sq|Parkway|Pkwy)"
 #: What makes a line look like an address.
 INDICATORS = (
@@ -144,6 +152,7 @@ INDICATORS = (
     r"(?i)P\.?O\.?\s*Box\s+\d+",
     r"(?i)\b(city|town|village|state|province|county|zip|postal|code)\b",
 )
+#: Patterns of address lines, of postal codes by country, and of streets in blocks.
 LINE_PATTERNS = (rf"(?i)\d{{1,5}}\s+\w+\s+{STREET_SUFFIX}", INDICATORS[1], INDICATORS[5], r"\d{1,5}\s+[\w\s,]+\d{5}(-\d{4})?")
 PIN_PATTERNS = {"india": r"\b\d{6}\b", "us": r"\b\d{5}(?:-\d{4})?\b", "uk": r"(?i)\b[A-Z]{1,2}\d{1,2}\s?\d[A-Z]{2}\b", "canada": r"(?i)\b[A-Z]\d[A-Z]\s?\d[A-Z]\d\b"}
 STREET_LINE = r"(?i)\d+\s+[\w\s]+(?:street|st|avenue|ave|road|rd|boulevard|blvd|drive|dr|lane|ln|way|court|ct|place|pl)\b"

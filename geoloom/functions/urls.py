@@ -27,6 +27,7 @@ CLASSES = (
     (r"/investors?[/?]", "investor", 0.60),
     (r"/(map|store[-_]?locator)[/?]", "locations", 0.95),
 )
+#: Words in headings by class, order of visits, guessed paths, words and paths of links about places.
 HEADING_WORDS = (
     ("locations", ("office", "location", "branch", "center", "store", "find us", "where we are", "global footprint", "worldwide", "our presence")),
     ("contact", ("contact us", "get in touch", "reach us", "contact information")),
@@ -69,7 +70,13 @@ def excluded(url: Column) -> Column:
 
 def is_pdf(url: Column) -> Column:
     low = F.lower(url)
-    return low.endswith(".pdf") | low.contains(".pdf?") | low.contains("/pdf/")
+    return low.endswith(".pdf") | low.contains(".pdf?") | low.contains("/pdf/") | low.contains("doc_financials")
+
+
+def is_document(url: Column) -> Column:
+    """Of a text document other than PDF."""
+    low = F.lower(url)
+    return reduce(lambda a, b: a | b, (low.endswith(x) for x in (".doc", ".docx", ".txt", ".rtf")))
 
 
 def same_site(a: Column, b: Column) -> Column:
@@ -99,6 +106,14 @@ def heading_class(headings: Column) -> Column:
     return F.struct(F.coalesce(best["type"], F.lit("general")).alias("type"), F.coalesce(-best["c"], F.lit(0.0)).alias("confidence"))
 
 
+def combined_class(url: Column, headings: Column) -> Column:
+    """struct<type, confidence, priority>: the class of the address, else of the headings; the greater confidence of both."""
+    a, b = page_class(url), heading_class(headings)
+    kind = F.when(a["type"] != "general", a["type"]).otherwise(b["type"])
+    sure = F.greatest(F.when(a["type"] != "general", a["confidence"]).otherwise(0.0), b["confidence"])
+    return F.struct(kind.alias("type"), sure.alias("confidence"), F.coalesce(*(F.when(kind == t, F.lit(p)) for t, p in PRIORITY.items()), F.lit(4)).alias("priority"))
+
+
 def strategy(priority: Column, confidence: Column) -> Column:
     """struct<aggressive, methods, timeout>."""
     make = lambda a, m, t: F.struct(F.lit(a).alias("aggressive"), F.array(*map(F.lit, m)).alias("methods"), F.lit(t).alias("timeout"))

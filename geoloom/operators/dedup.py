@@ -179,11 +179,20 @@ def merge(rows: DataFrame, key: str, order: str = "id", lists=("phone", "email",
 
 
 def coalesce_merge(rows: DataFrame, key: Column, order: str = "id") -> DataFrame:
-    """One row for each key: the first value given of each field, in the order; rows without a key go."""
+    """One row for each key: the first value given of each field, in the order, verified if any row is, and when it was last seen; rows without a key go."""
     given = [F.min_by(filled(F.col(n)), F.when(filled(F.col(n)).isNotNull(), F.col(order))).alias(n) for n in FIELDS if n in rows.columns]
+    given += [F.bool_or(F.coalesce("verified", F.lit(False))).alias("verified")] if "verified" in rows.columns else []
+    given += [F.max("last_seen").alias("last_seen")] if "last_seen" in rows.columns else []
     return rows.withColumn("key", key).where("key IS NOT NULL").groupBy("key").agg(*given, F.count(F.lit(1)).alias("merged_from"))
 
 
+def word_leaders(pairs: DataFrame, rows: DataFrame, text: str = "location_address") -> DataFrame:
+    """id and kept of all rows: of rows that pairs (id_a < id_b) joins to a leader, the longest text is kept (of equals the first)."""
+    led = leaders(pairs, rows.select("id")).join(rows.select("id", text), "id")
+    best = led.groupBy("leader").agg(F.min_by("id", F.struct(-F.coalesce(F.length(text), F.lit(0)), F.col("id"))).alias("kept"))
+    return led.join(best, "leader").select("id", "kept")
+
+
 def similar_by_words(a: Column, b: Column) -> Column:
     """The same first and last number (of two or more), or more than 0.7 of all words in common."""
     numbers = lambda c: F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0))

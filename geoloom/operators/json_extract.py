@@ -73,6 +73,12 @@ def objects(rows: DataFrame, key: str, text: str) -> DataFrame:
     return _each(rows, key, text, f"{key} long, seq long, depth long, obj string", [pa.int64(), pa.int64(), pa.string()], make)
 
 
+def top_objects(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, seq and obj (JSON) of the object that a JSON text is, or of the objects in the list that it is."""
+    make = lambda v: [(i, json.dumps(o, ensure_ascii=False)) for i, o in enumerate(v if isinstance(v, list) else [v]) if isinstance(o, dict)]
+    return _each(rows, key, text, f"{key} long, seq long, obj string", [pa.int64(), pa.string()], make)
+
+
 def list_census(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, path, length and depth of the lists in JSON texts, down to depth 5."""
     return _each(rows, key, text, f"{key} long, path string, length long, depth long", [pa.string(), pa.int64(), pa.int64()], _lists)

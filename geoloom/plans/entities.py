@@ -212,11 +212,12 @@ def dedup_trimmed(spark, sf_dir):
 _CANON = f"CASE WHEN concat_ws('|', nullif(location_name, ''), nullif(street_or_city, ''), nullif(postcode, '')) <> '' THEN regexp_replace(lower(concat_ws('|', nullif(location_name, ''), nullif(street_or_city, ''), nullif(postcode, ''))), '[^a-z0-9|]', '', 'g') WHEN {_PLACED} THEN 'coord_' || CAST(latitude AS VARCHAR) || '_' || CAST(longitude AS VARCHAR) END"
 
 
-@_C.add(f"SELECT key, arg_min(location_address, id) FILTER (WHERE location_address <> '') AS location_address, arg_min(activity, id) FILTER (WHERE activity <> '') AS activity, count(*) AS merged_from FROM (SELECT *, {_CANON} AS key FROM {DOUBLED} d) d WHERE key IS NOT NULL GROUP BY key")
+@_C.add(f"SELECT key, arg_min(location_address, id) FILTER (WHERE location_address <> '') AS location_address, arg_min(activity, id) FILTER (WHERE activity <> '') AS activity, bool_or(id % 3 = 0) AS verified, max(id * 7 % 1000) AS last_seen, count(*) AS merged_from FROM (SELECT *, {_CANON} AS key FROM {DOUBLED} d) d WHERE key IS NOT NULL GROUP BY key")
 def canonical_merge(spark, sf_dir):
     c = F.col
     key = address.canonical_key(c("location_name"), F.lit(None).cast("string"), c("street_or_city"), c("postcode"), c("latitude"), c("longitude"))
-    return dedup.coalesce_merge(doubled(spark, sf_dir), key).select("key", "location_address", "activity", "merged_from")
+    rows = doubled(spark, sf_dir).withColumns({"verified": F.col("id") % 3 == 0, "last_seen": F.col("id") * 7 % 1000})
+    return dedup.coalesce_merge(rows, key).select("key", "location_address", "activity", "verified", "last_seen", "merged_from")
 
 
 _WORDS = Rows("id bigint, a string, b string", (1, "12 main st 90210", "12 other rd 90210"), (2, "alpha beta gamma delta", "alpha beta gamma epsilon"), (3, "alpha beta gamma delta", "alpha beta gamma delta"), (4, "1 x", "1 y"), (5, "north gate park lane one", "north gate park lane two"))

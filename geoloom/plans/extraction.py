@@ -149,7 +149,7 @@ def text_streets(spark, sf_dir):
 _FAX = f"list_filter(list_transform(regexp_extract_all(text, '{x.FAX}', 1), lambda f: trim(regexp_replace(f, '\\s+$', ''))), lambda f: length(regexp_replace(f, '\\D', '', 'g')) >= 7)"
 
 
-@_C.add(f"SELECT doc_id, array_to_string({_FAX}, ',') AS fax, len(regexp_extract_all(text, '{x.HOURS[0]}')) > 0 OR len(regexp_extract_all(text, '{x.HOURS[1]}')) > 0 OR len(regexp_extract_all(text, '{x.HOURS[2]}')) > 0 AS has_hours FROM {_TEXTS.sql} t")
+@_C.add(f"SELECT doc_id, array_to_string({_FAX}, ',') AS fax, {' OR '.join(f"len(regexp_extract_all(text, '{p}')) > 0" for p in x.HOURS)} AS has_hours FROM {_TEXTS.sql} t")
 def text_contacts(spark, sf_dir):
     c = F.col("text")
     return _TEXTS.frame(spark).select("doc_id", F.array_join(F.transform(x.faxes(c), lambda f: F.regexp_replace(f, r"\s+$", "")), ",").alias("fax"), (F.size(x.hours(c)) > 0).alias("has_hours"))
@@ -162,10 +162,19 @@ def _null(e: str) -> str:
 _COUNTRY = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i)\\b{n}\\b') THEN '{n}' END" for n in sorted(x.COUNTRIES, key=lambda n: (-len(n), n))) + ")"
 
 
-@_C.add(f"SELECT doc_id, {_null(f'regexp_extract(text, {chr(39)}{x.STREET}{chr(39)}, 0)')} AS street, {_null(f'regexp_extract(text, {chr(39)}{x.REGION}{chr(39)}, 1)')} AS state, coalesce({', '.join(_null(f'regexp_extract(text, {chr(39)}{p}{chr(39)}, 0)') for p in x.POSTAL)}) AS postal, {_COUNTRY} AS country, lower({_null(f'regexp_extract(text, {chr(39)}{x.EMAIL}{chr(39)}, 0)')}) AS email FROM {_TEXTS.sql} t")
+def _found(patterns, group: int = 0) -> str:
+    """The first match of the first pattern that has one; DuckDB's patterns look nowhere ahead."""
+    return "coalesce(" + ", ".join(_null(f"trim(regexp_extract(text, '{p.split('(?!')[0]}', {group}))") for p in patterns) + ")"
+
+
+_CITY = f"coalesce({_found((x.CITY,), 1)}, {', '.join(f'CASE WHEN contains(text, {chr(39)}{n}{chr(39)}) THEN {chr(39)}{n}{chr(39)} END' for n in x.CITIES)})"
+PARSED = f"{_found(x.STREETS)} AS street, {_CITY} AS city, {_found(x.REGIONS)} AS state, {_found(x.POSTAL)} AS postal, {_COUNTRY} AS country, lower({_found((x.EMAIL,))}) AS email"
+
+
+@_C.add(f"SELECT doc_id, {PARSED} FROM {_TEXTS.sql} t")
 def text_parse_address(spark, sf_dir):
     p = x.parse_address(F.col("text"))
-    return _TEXTS.frame(spark).select("doc_id", *(p[n].alias(n) for n in ("street", "state", "postal", "country", "email")))
+    return _TEXTS.frame(spark).select("doc_id", *(p[n].alias(n) for n in ("street", "city", "state", "postal", "country", "email")))
 
 
 _LOOK = Rows("id bigint, line string", (1, "12 Main Street, Springfield 62704"), (2, "short 1 St"), (3, "Suite 500 in a tall building"), (4, "P.O. Box 123 somewhere far"), (5, "no numbers but a Street here"), (6, "K1A 0B1 is a postal code of Canada"), (7, "the year 2024 was long and dull"), (8, None))

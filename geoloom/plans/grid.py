@@ -118,18 +118,36 @@ def bulk_summary(spark, sf_dir):
     return sinks.bulk_totals(_BULK.frame(spark))
 
 
-@_C.add(f"SELECT company, url, status, found AS locations, coalesce(error, '') AS error, CASE status WHEN 'success' THEN 'FFD4EDDA' ELSE 'FFF8D7DA' END AS fill FROM {_BULK.sql} t")
+@_C.add(f"SELECT company, url, status, found AS locations, coalesce(error, '') AS error, CASE status WHEN 'success' THEN 'FF90EE90' ELSE 'FFFFCCCB' END AS fill FROM {_BULK.sql} t")
 def bulk_report_summary(spark, sf_dir):
     return sinks.report_summary(_BULK.frame(spark))
 
 
-@_C.add(f"SELECT id, coalesce(location_name, '') AS name, CAST(quality_score AS VARCHAR) || '%' AS quality, coalesce(phone, '') AS phone FROM {SCORED} s")
+def _shown(header: str, n: str) -> str:
+    if n in ("company", "hours"):
+        return f"'' AS \"{header}\""
+    if n == "quality_score":
+        return f"CASE WHEN quality_score > 0 THEN CAST(quality_score AS VARCHAR) || '%' ELSE '' END AS \"{header}\""
+    return f"coalesce(CAST({n} AS VARCHAR), '') AS \"{header}\""
+
+
+@_C.add(f"SELECT id, {', '.join(_shown(h, n) for h, n in sinks.SHEET.items())}, CASE {' '.join(f'WHEN quality_score >= {a} THEN {chr(39)}{c}{chr(39)}' for a, c in sinks.FILLS)} ELSE '' END AS fill FROM {SCORED} s")
 def bulk_report_locations(spark, sf_dir):
     return sinks.report_locations(enrich.with_quality(locations(spark, sf_dir)))
 
 
-@_C.add(f"SELECT true AS success, count(*) AS total_records, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT id FROM ({LOC}) l ORDER BY id LIMIT 25) p")
+_EMPTY = "CASE WHEN {0} IS NULL OR CAST({0} AS VARCHAR) IN ('', '0', '0.0', 'NaN', 'false') THEN '' ELSE CAST({0} AS VARCHAR) END AS {0}"
+
+
+@_C.add(f"SELECT id, {', '.join(_EMPTY.format(n) for n in sinks.PRINTED)} FROM (SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM ({LOC}) l) l")
+def printed_table(spark, sf_dir):
+    return sinks.printed(locations(spark, sf_dir))
+
+
+@_C.add(f"SELECT true AS success, count(*) AS total_records, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids, false AS cached, 'site-wide' AS mode, 'job-7' AS job_id, '2024-01-29T00:00:00.000Z' AS at FROM (SELECT id FROM ({LOC}) l ORDER BY id LIMIT 25) p")
 def json_envelope(spark, sf_dir):
-    one = sinks.envelope(grid.page(grid.ordered(locations(spark, sf_dir), "id"), 1, 25).select("id", "location_name"))
-    parsed = F.from_json("body", "success boolean, totalRecords bigint, data array<struct<id:bigint,location_name:string>>")
-    return one.select(parsed.alias("b")).select(F.col("b.success").alias("success"), F.col("b.totalRecords").alias("total_records"), F.array_join(F.array_sort(F.col("b.data.id")).cast("array<string>"), ",").alias("ids"))
+    at = F.lit("2024-01-29T00:00:00.000Z")
+    one = sinks.envelope(grid.page(grid.ordered(locations(spark, sf_dir), "id"), 1, 25).select("id", "location_name"), mode="site-wide", job_id="job-7", at=at)
+    parsed = F.from_json("body", "success boolean, totalRecords bigint, data array<struct<id:bigint,location_name:string>>, cached boolean, mode string, jobId string, crawledAt string")
+    ids = F.array_join(F.array_sort(F.col("b.data.id")).cast("array<string>"), ",")
+    return one.select(parsed.alias("b")).select(F.col("b.success").alias("success"), F.col("b.totalRecords").alias("total_records"), ids.alias("ids"), F.col("b.cached").alias("cached"), F.col("b.mode").alias("mode"), F.col("b.jobId").alias("job_id"), F.col("b.crawledAt").alias("at"))

@@ -35,7 +35,7 @@ _P = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
 _EXCLUDED = "(regexp_matches(lower(url), '(" + "|".join(e.replace(".", "\\.") for e in urls.FILES) + ")$') OR " + " OR ".join(f"contains(lower(url), '{p}')" for p in urls.PATHS) + ")"
 
 
-@_C.add(f"SELECT page_id, {_EXCLUDED} AS excluded, regexp_matches(lower(url), '\\.pdf$|\\.pdf\\?|/pdf/') AS pdf, {_P} IN ('', '/') AS homepage, regexp_extract(url, '^(https?://[^/?#]+)', 1) || CASE WHEN {_P} = '' THEN '/' ELSE {_P} END AS clean FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, url FROM {_SITES} s) q")
+@_C.add(f"SELECT page_id, {_EXCLUDED} AS excluded, regexp_matches(lower(url), '\\.pdf$|\\.pdf\\?|/pdf/|doc_financials') AS pdf, {_P} IN ('', '/') AS homepage, regexp_extract(url, '^(https?://[^/?#]+)', 1) || CASE WHEN {_P} = '' THEN '/' ELSE {_P} END AS clean FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, url FROM {_SITES} s) q")
 def url_filters(spark, sf_dir):
     u = F.col("url")
     rows = read(spark, sf_dir, "pages").select("page_id", "url").unionByName(_sites(spark, sf_dir).withColumn("page_id", F.col("page_id") + 1000000))
@@ -303,7 +303,7 @@ def request_validation(spark, sf_dir):
     return readers.rejected(spark.createDataFrame(rows, "id bigint, url string, urls array<string>, max_pages int, max_depth int"))
 
 
-@_C.add(f"SELECT page_id, CASE WHEN regexp_matches(lower(url), '\\.pdf$|\\.pdf\\?|/pdf/') THEN 'pdf' WHEN regexp_matches(lower(url), '\\.json($|\\?)|/api/') THEN 'api' ELSE 'page' END AS route FROM {_SITES} s")
+@_C.add(f"SELECT page_id, CASE WHEN regexp_matches(lower(url), '\\.pdf$|\\.pdf\\?|/pdf/|doc_financials') THEN 'pdf' WHEN regexp_matches(lower(url), '\\.json($|\\?)|/api/') THEN 'api' ELSE 'page' END AS route FROM {_SITES} s")
 def url_routing(spark, sf_dir):
     return _sites(spark, sf_dir).select("page_id", readers.route(F.col("url")).alias("route"))
 

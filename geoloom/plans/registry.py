@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from geoloom.plans import columns, entities, extraction, grid, more, pages
+from geoloom.plans import columns, entities, extraction, grid, more, pages, sites
 from geoloom.plans.columns import flagship
 
-_MODULES = (columns, grid, entities, extraction, pages, more)
+_MODULES = (columns, grid, entities, extraction, pages, more, sites)
 
 __all__ = ["flagship", "oracle_sql", "queries"]
 

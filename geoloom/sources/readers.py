@@ -9,7 +9,12 @@ from geoloom.functions import urls
 from geoloom.functions.text import filled, first_filled
 
 #: Where sites answer with their places, and where sitemaps are.
-ENDPOINTS = ("/api/locations", "/api/stores", "/api/offices", "/api/branches", "/locations.json", "/stores.json", "/offices.json", "/data/locations.json")
+ENDPOINTS = (
+    "/api/locations", "/api/locations.json", "/api/stores", "/api/stores.json", "/api/offices", "/api/offices.json", "/api/branches",
+    "/locations.json", "/stores.json", "/offices.json", "/data/locations.json", "/data/stores.json",
+    "/wp-json/wp/v2/locations", "/wp-json/store-locator/v1/stores", "/locations-sitemap.xml", "/graphql", "/api/graphql",
+    "/store-locator/data", "/store-locator/locations.json", "/storelocator/data.json",
+)
 PROBES = ("/api/locations", "/api/stores", "/api/offices")
 SITEMAPS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml")
 ACTIVITIES, SHARES = ("Headquarters", "Office", "Warehouse", "Retail"), ("Own", "Lease", "Joint Venture")
@@ -90,6 +95,31 @@ def uncached(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     return requests.join(cache.where(F.col("expires_at") > now), "key", "left_anti")
 
 
+def memoised(requests: DataFrame, cache: DataFrame, compute, now: Column, ttl: float = 3600, most: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Answers (key, value) of requests (key), from a cache (key, value, stored_at in seconds) where it has one of the last `ttl`
+    seconds and else by compute(misses); and the cache after that: entries still valid and new ones, the last `most` that came in."""
+    valid = cache.where(F.col("stored_at") > now - ttl)
+    asked = requests.select("key").distinct()
+    new = compute(asked.join(valid.select("key"), "key", "left_anti")).select("key", "value")
+    answers = asked.join(valid.select("key", "value"), "key").unionByName(new)
+    both = valid.select("key", "value", "stored_at").unionByName(new.withColumn("stored_at", now.cast("double")))
+    return answers, both.orderBy(F.col("stored_at").desc(), F.col("key").desc()).limit(most)
+
+
+def sample(spark: SparkSession, n: int = 25) -> DataFrame:
+    """A small table of made-up locations with the columns of a report, for trials without pages."""
+    i = F.col("id")
+    pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
+    number = (100 + i * 7).cast("string")
+    return spark.range(1, n + 1).select(
+        "id", F.concat(pick("North", "South", "Harbour", "Central", "Park"), F.lit(" "), pick("Office", "Depot", "Lab"), F.lit(" "), i.cast("string")).alias("location_name"),
+        F.concat(number, F.lit(" "), pick("Mill", "Canal", "Orchard"), F.lit(" Road")).alias("location_address"), pick("Office", "Warehouse", "Laboratory").alias("activity"),
+        F.round(-60 + i * 4.75, 4).alias("latitude"), F.round(-170 + i * 13.25, 4).alias("longitude"), pick("USA", "GBR", "DEU", "IND").alias("country_iso3"), (10000 + i * 37).cast("string").alias("postcode"),
+        pick("TX", "England", "Bayern", "Goa").alias("state"), pick("Austin", "Leeds", "Ulm", "Panaji").alias("street_or_city"), (i * 250).cast("string").alias("footprint"), F.when(i % 2 == 0, 30).alias("height"),
+        pick("Exclusive", "Shared").alias("usage_share"), F.concat(F.lit("https://sample.test/"), i.cast("string")).alias("source_url"),
+    )
+
+
 def rejected(requests: DataFrame) -> DataFrame:
     """id and reason of crawl requests (id, url, urls, max_pages, max_depth) that break a rule; null where none."""
     n = F.size("urls")
@@ -97,3 +127,9 @@ def rejected(requests: DataFrame) -> DataFrame:
     bad = bad.when(F.col("urls").isNotNull() & ~n.between(1, 10), "1 to 10 urls").when(F.col("url").isNotNull() & ~F.coalesce(F.col("url"), F.lit("")).rlike(r"^[a-z][a-z0-9+.-]*:\S+$"), "not an address")
     bad = bad.when(~F.col("max_pages").between(1, 200), "max_pages").when(~F.col("max_depth").between(1, 10), "max_depth")
     return requests.select("id", bad.alias("reason"))
+
+
+def rejected_uploads(files: DataFrame, most: int = 10 << 20) -> DataFrame:
+    """id and reason of uploads (id, name, mime, bytes) that are no CSV file or too large; null where neither."""
+    csv = F.coalesce(F.col("mime").isin("text/csv", "application/vnd.ms-excel"), F.lit(False)) | F.coalesce(F.lower("name").endswith(".csv"), F.lit(False))
+    return files.select("id", F.when(~csv, "not a CSV file").when(F.col("bytes") > most, "too large").alias("reason"))
