@@ -66,6 +66,23 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: A key with more rows than this is hot; hot keys that may be broadcast, about 50 bytes each.
+HOT_ROWS, MAX_HOT = 1024, 200_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows joined with the one row that table has for each of their keys; n: table's column of how many rows a key has.
+
+    Keys with more than HOT_ROWS rows get theirs by a broadcast, so that no task has all rows of one; the others by a
+    shuffle. Beyond MAX_HOT hot keys none of them holds much of the whole, and all are shuffled.
+    """
+    hot = materialise(table.where(F.col(n) > HOT_ROWS), "hot")
+    if not 0 < hot.limit(MAX_HOT + 1).count() <= MAX_HOT:
+        return rows.join(table, keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(n) <= HOT_ROWS), keys)
+    return rest.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def text_column(df: DataFrame, text: str = "text"):
     """The text as a string, null as empty. Also has the session hand texts to Python in small batches, unless it sets their size itself."""
     conf = df.sparkSession.conf

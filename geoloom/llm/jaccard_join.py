@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm import common
@@ -41,6 +41,8 @@ TILE = 512
 CELL_ROWS = 1024
 #: Buckets up to this size are compared pair by pair, larger ones as a search for a spanning forest.
 SMALL = 12
+#: Documents, and bytes of their sets, of a tile of a component whose sets are compared; those of two tiles are in one call.
+LINK_TILE, LINK_BYTES = 2048, 8 << 20
 #: Representatives in candidate components whose numbers may be broadcast, 48 bytes each.
 MAX_CANDIDATES = 200_000
 
@@ -229,14 +231,14 @@ def _candidates(rules: list[tuple[int, int]]):
     return run
 
 
-def tiled(members: DataFrame, key: str, counts: DataFrame, salt_on: str, tile: int = TILE) -> DataFrame:
+def tiled(members: DataFrame, key: str, counts: DataFrame, salt_on: str, tiles: Column | None = None) -> DataFrame:
     """members of groups of two or more, once for each pair of tiles (t, u) they belong to; side is 1 in the second.
 
-    counts has key and n, the members of each group, and comes from an aggregation of them.
+    counts has key and n, the members of each group, and comes from an aggregation of them. tiles: into how many a group is cut.
     """
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    own = F.pmod(F.xxhash64(salt_on), F.col("tiles")).cast("int")
-    placed = members.join(counts.where("n > 1").select(key, tiles.alias("tiles")), key).withColumn("own", own)
+    tiles = F.ceil(F.col("n") / TILE) if tiles is None else tiles
+    table = counts.where("n > 1").select(key, tiles.cast("int").alias("tiles"), "n")
+    placed = common.spread_join(members, table, [key], "n").drop("n").withColumn("own", F.pmod(F.xxhash64(salt_on), F.col("tiles")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     return pairs.select("*", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), (F.col("own") > F.col("other")).cast("int").alias("side")).drop("tiles", "own", "other")
 
@@ -257,8 +259,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     while True:
         around = both(edges)
         # large star: neighbours above a node go to the least of the node and its neighbours
-        least = around.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = around.where("y > x").join(least, "x").select(F.col("m").alias("a"), F.col("y").alias("b")).distinct()
+        least = around.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n")).select("x", F.least("x", "m").alias("m"), "n")
+        large = common.spread_join(around.where("y > x"), least, ["x"], "n").select(F.col("m").alias("a"), F.col("y").alias("b")).distinct()
         # small star: a node and its lesser neighbours go to the least of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select("m", F.explode(F.array_distinct(F.array("a", "b"))).alias("v")).where("m < v").distinct().select(F.col("m").alias("a"), F.col("v").alias("b"))
@@ -270,23 +272,26 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         last = state
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two of the sets share."""
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    values, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[inverse] > 1
-    owner, element = owner[shared], inverse[shared]
-    _, element = np.unique(element, return_inverse=True)
-    out = np.zeros((n, n), np.float32)
-    order = np.argsort(element, kind="stable")
-    owner, element = owner[order], element[order]
+def _overlaps(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the first sets shares with each of the second."""
+    out = np.zeros((len(first), len(second)), np.float32)
+    both = [(np.repeat(np.arange(len(x)), [len(s) for s in x]), np.concatenate(x)) for x in (first, second)]
+    shared = np.intersect1d(both[0][1], both[1][1])
+    if not len(shared):
+        return out
+    sides = []
+    for owner, values in both:
+        place = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        own = np.flatnonzero(shared[place] == values)
+        own = own[np.argsort(place[own], kind="stable")]
+        sides.append((owner[own], place[own]))
     width = 4096
-    for a in range(0, int(element[-1]) + 1 if len(element) else 0, width):
-        lo, hi = np.searchsorted(element, (a, a + width))
-        x = np.zeros((n, min(width, int(element[hi - 1]) - a + 1)), np.float32)
-        x[owner[lo:hi], element[lo:hi] - a] = 1
-        out += x @ x.T
+    for a in range(0, len(shared), width):
+        x, y = (np.zeros((len(sets), width), np.float32) for sets in (first, second))
+        for m, (owner, place) in zip((x, y), sides, strict=True):
+            lo, hi = np.searchsorted(place, (a, a + width))
+            m[owner[lo:hi], place[lo:hi] - a] = 1
+        out += x @ y.T
     return out
 
 
@@ -312,21 +317,29 @@ def _links(threshold: float):
         t, u = cell.column("t").to_numpy(), cell.column("u").to_numpy()
         shingles = cell.column("shingles")
         for rows in _groups(cell, "root", "t", "u"):
-            sets = [np.frombuffer(shingles[i].as_py(), np.uint64) for i in rows.tolist()]
-            size = np.array([len(s) for s in sets], np.float64)
-            both = _overlaps(sets).astype(np.float64)
-            # whole numbers on both sides: the threshold is met or not, without rounding
-            linked = (both * 10_000 >= top * (size[:, None] + size[None, :] - both)) & (both > 0)
-            np.fill_diagonal(linked, False)
-            if t[rows[0]] != u[rows[0]]:
-                linked &= side[rows][:, None] != side[rows][None, :]
-            links = linked.astype(np.int64) @ copies[rows]
-            out += [(n, n, k) for n, k in zip(nodes[rows].tolist(), links.tolist(), strict=True) if k]
-            forest = Forest(len(rows))
-            for i in range(len(rows)):
-                for j in (i + 1 + np.flatnonzero(linked[i, i + 1 :])).tolist():
-                    if forest.join(i, j):
-                        out.append((int(nodes[rows[i]]), int(nodes[rows[j]]), 0))
+            two = t[rows[0]] != u[rows[0]]
+            parts = [rows[side[rows] == 0], rows[side[rows] == 1]] if two else [rows, rows]
+            links, forest, place = np.zeros(len(nodes), np.int64), Forest(len(rows)), {r: i for i, r in enumerate(rows.tolist())}
+            for i in range(0, len(parts[0]), TILE):
+                x = parts[0][i : i + TILE]
+                mine = [np.frombuffer(shingles[r].as_py(), np.uint64) for r in x.tolist()]
+                for j in range(0 if two else i, len(parts[1]), TILE):
+                    y = parts[1][j : j + TILE]
+                    same = not two and i == j
+                    theirs = mine if same else [np.frombuffer(shingles[r].as_py(), np.uint64) for r in y.tolist()]
+                    both = _overlaps(mine, theirs).astype(np.float64)
+                    sizes = np.add.outer([len(s) for s in mine], [len(s) for s in theirs])
+                    # whole numbers on both sides: the threshold is met or not, without rounding
+                    linked = (both * 10_000 >= top * (sizes - both)) & (both > 0)
+                    if same:
+                        np.fill_diagonal(linked, False)
+                    else:
+                        links[y] += copies[x] @ linked
+                    links[x] += linked @ copies[y]
+                    for a, b in zip(*np.nonzero(np.triu(linked) if same else linked), strict=True):
+                        if forest.join(place[int(x[a])], place[int(y[b])]):
+                            out.append((int(nodes[x[a]]), int(nodes[y[b]]), 0))
+            out += [(n, n, k) for n, k in zip(nodes[rows].tolist(), links[rows].tolist(), strict=True) if k]
         common.release()
         return pa.Table.from_pylist([dict(zip(("a", "b", "links"), x, strict=True)) for x in out], schema=schema)
 
@@ -344,7 +357,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, epsilon: float = EPSILON
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"))
     features = common.materialise(rows.mapInArrow(_features, _FEATURES), "features")
-    classes = features.where("size > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
+    classes = features.where("size > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature"))
     classes = common.materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     rules = least_matches(threshold + (1 - threshold) / 256, epsilon)  # bytes of different values may be equal
@@ -354,37 +367,43 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, epsilon: float = EPSILON
     members = in_cells(members.join(classes.select("node", "signature"), "node"), members.count(), "band", "t", "u")
     candidates = components(members.groupBy("cell").applyInArrow(_candidates(rules), "a long, b long"), "candidates")
 
-    chosen = common.materialise(candidates.join(classes.select("node", "doc_id", "set_a", "set_b", "copies"), "node"), "chosen")
+    chosen = common.materialise(candidates.join(classes.select("node", "doc_id", "set_a", "set_b", "copies", "size"), "node"), "chosen")
     n = chosen.count()
     texts = rows.join(common.broadcast_if_small(chosen, n, MAX_CANDIDATES), rows["doc_id"].eqNullSafe(chosen["doc_id"]))
     sets = texts.select("text", "set_a", "set_b", "node", "root", "copies").mapInArrow(_sets, "node long, root long, copies long, shingles binary").dropDuplicates(["node"])
-    groups = tiled(sets, "root", chosen.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "node")
+    counts = chosen.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    groups = tiled(sets, "root", counts, "node", F.ceil(F.greatest(F.col("n") / LINK_TILE, F.col("size") * 8 / LINK_BYTES)))
     verified = in_cells(groups, n * 4, "root", "t", "u").groupBy("cell").applyInArrow(_links(threshold), "a long, b long, links long")
     verified = common.materialise(verified, "verified")
 
     links = verified.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     reached = components(verified.where("a < b or a > b").select("a", "b"), "classes")
-    least = reached.join(classes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = reached.join(least, "root").select("node", "class_id")
-    known = classes.drop("signature").join(named, "node", "left").join(links, "node", "left")
+    least = reached.join(classes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    named = common.spread_join(reached, least, ["root"], "n").select("node", "class_id")
+    known = classes.drop("signature", "size").join(named, "node", "left").join(links, "node", "left")
     known = known.select("set_a", "set_b", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("doc_id").alias("copies_id"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = features.select("doc_id", "set_a", "set_b", "size").join(known, ["set_a", "set_b"], "left")
+    known = common.materialise(known, "known")
+    rows = features.select("doc_id", "set_a", "set_b", "size")
+    out = common.spread_join(rows.where("size > 0"), known, ["set_a", "set_b"], "copies").unionByName(rows.where("size = 0"), allowMissingColumns=True)
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies_id", "doc_id").alias("copies_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs, all columns, with one row of each class: that of the least doc_id. Rows without a doc_id stay."""
-    classes = common.materialise(join(docs, threshold).select("doc_id", "class_id"), "joined")
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    out = docs.join(common.broadcast_if_small(gone, gone.count(), MAX_CANDIDATES), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    repeated = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
-    if repeated.limit(1).count():  # equal rows have one doc_id
-        many = out.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        out = out.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(many).select(*(F.col(f"`{c}`") for c in docs.columns))
-    return out
+    """docs, all columns, with one row of each class of links: that of the least doc_id (rows without one come last; of equals any one).
+
+    Rows are told apart by themselves, whatever their doc_id: two rows of one doc_id are compared like any others.
+    Null and empty texts have no links, so all of those rows stay; without rows the result is empty.
+    """
+    keyed = common.materialise(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.monotonically_increasing_id().alias("row")), "rows")
+    links = common.materialise(join(keyed.select(F.col("row").alias("doc_id"), F.col("own.text").alias("text")), threshold).select(F.col("doc_id").alias("row"), "class_id", "n_links").where("n_links > 0"), "joined")
+    named = links.join(keyed.select("row", F.col("own.doc_id").alias("doc_id")), "row")
+    kept = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
+    gone = common.materialise(links.select("row").join(kept, "row", "left_anti"), "gone")
+    return keyed.join(common.broadcast_if_small(gone, gone.count(), MAX_CANDIDATES), "row", "left_anti").select(*(F.col("own")[c].alias(c) for c in docs.columns))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, copies and links of all documents."""
     return join(common.table(spark, sf_dir, "documents"))
 
 

@@ -76,11 +76,45 @@ def test_large_groups_are_tiled(spark, monkeypatch):
     texts = [" ".join([*words[:i], "x", *words[i:]]) for i in range(50)]
     pairs = jaccard_join.brute_force(texts)
     links = Counter(i for p in pairs for i in p)
-    monkeypatch.setattr(jaccard_join.tiled, "__defaults__", (16,))
+    monkeypatch.setattr(jaccard_join, "TILE", 16)
+    monkeypatch.setattr(jaccard_join, "LINK_TILE", 20)
+    monkeypatch.setattr(common, "HOT_ROWS", 8)
     got = {r.doc_id: r.n_links for r in jaccard_join.join(_frame(spark, texts)).collect()}
     assert got == {i: links[i] for i in range(50)}
 
 
+def test_links_of_all_documents_of_a_table(spark):
+    """All pairs of sf0.01 by brute force, through an index of shingles: none is lost."""
+    from collections import defaultdict
+
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
+    sets = []
+    for d in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", d.text or "")
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    holders, shared = defaultdict(list), Counter()
+    for i, s in enumerate(sets):
+        for x in s:
+            shared.update((j, i) for j in holders[x])
+            holders[x].append(i)
+    links = Counter()
+    for (i, j), both in shared.items():
+        if 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+            links[docs[i].doc_id] += 1
+            links[docs[j].doc_id] += 1
+    got = {r.doc_id: r.n_links for r in jaccard_join.op9_jaccard_join(spark, sf_dir).collect()}
+    assert sum(links.values()) > 150 and got == {d.doc_id: links[d.doc_id] for d in docs}
+
+
+def test_one_row_of_each_class_whatever_its_id(spark):
+    body = " ".join(f"w{i}" for i in range(80))
+    rows = [(5, body), (3, body + " end"), (5, "quite another text that nothing else is like at all"), (None, body), (None, "x y z u v w"), (7, None), (7, "")]
+    out = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert sorted((str(r.doc_id), r.text) for r in out.collect() if r.text) == sorted([("3", body + " end"), ("5", rows[2][1]), ("None", rows[4][1])])
+    assert out.where("doc_id = 7").count() == 2
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(2)
     rules = jaccard_join.least_matches(0.8, 1e-5)
