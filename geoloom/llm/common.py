@@ -45,10 +45,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _written: list[str] = []
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete the tables that this process has written to the shared folder, once no result that reads them is needed."""
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written() -> int:
+    """How many tables this process has written so far and not cleaned."""
+    return len(_written)
+
+
+def clean(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that this process has written to the shared folder after the first `since`, but for the last `keep`, once no result that reads them is needed."""
+    gone = _written[since : len(_written) - keep]
+    del _written[since : len(_written) - keep]
+    for at in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -67,7 +74,7 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
 
 
 #: A key with more rows than this is hot; hot keys that may be broadcast, about 50 bytes each.
-HOT_ROWS, MAX_HOT = 1024, 200_000
+HOT_ROWS, MAX_HOT = 256, 200_000
 
 
 def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:

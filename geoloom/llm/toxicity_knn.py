@@ -269,6 +269,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     found = texts.where(F.octet_length("text") <= EXAMPLE_BYTES).join(F.broadcast(taken[0].unionByName(taken[1])), "doc_id")
     one = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
     bags = one.select("doc_id", "toxic", "t.text").mapInArrow(_bags, "doc_id long, toxic int, terms binary, counts binary").toArrow().sort_by("doc_id")
+    if len(pc.unique(bags.column("toxic"))) < 2:  # nothing to tell apart
+        bags = bags.slice(0, 0)
     y, h = bags.column("toxic").to_pylist(), [np.frombuffer(x, U) for x in bags.column("terms").to_pylist()]
     of = np.repeat(np.arange(len(y)), [len(x) for x in h])
     h = np.concatenate([*h, np.zeros(0, U)])
@@ -286,8 +288,8 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataF
     """doc_id, held_out, score, predicted and evidence (doc_id:label:similarity of the nearest) of each row of docs.
 
     Text only is scored. A text that shares no word with an example (null and empty ones too) gets the share of
-    toxic documents among examples without a word or, if there is none, among all. Without labelled rows the score
-    is 0. Examples as near as the k-th all vote. Repeated rows are scored alike; other columns are not read. Labels
+    toxic documents among examples without a word or, if there is none, among all. Without examples of both labels
+    the score is 0. Examples as near as the k-th all vote. Repeated rows are scored alike; other columns are not read. Labels
     other than 0 and 1 are left out; a doc_id with both is toxic.
     """
     index = fit(docs, labels, examples)
