@@ -42,7 +42,7 @@ CELL_ROWS = 1024
 #: Buckets up to this size are compared pair by pair, larger ones as a search for a spanning forest.
 SMALL = 12
 #: Documents, and bytes of their sets, of a tile of a component whose sets are compared; those of two tiles are in one call.
-LINK_TILE, LINK_BYTES = 1024, 8 << 20
+LINK_TILE, LINK_BYTES = 512, 8 << 20
 #: Representatives in candidate components whose numbers may be broadcast, 48 bytes each.
 MAX_CANDIDATES = 200_000
 
