@@ -28,9 +28,14 @@ def resolve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         yield pd.Series([None if b is None or x is None else one(b, x) for b, x in zip(base, link, strict=True)])
 
 
+def _targets(links: DataFrame) -> DataFrame:
+    """links with target, unless the walk over the pages has given it."""
+    return links if "target" in links.columns else links.withColumn("target", resolve("url", "href"))
+
+
 def internal(links: DataFrame) -> DataFrame:
     """page_id and link: distinct links (url, href) to the page's own site, without query and fragment, not excluded."""
-    rows = links.withColumn("target", resolve("url", "href")).where(F.col("target").rlike("^https?://"))
+    rows = _targets(links).where(F.col("target").rlike("^https?://"))
     rows = rows.where(urls.same_site(urls.host(F.col("target")), urls.host(F.col("url")))).withColumn("link", urls.clean(F.col("target")))
     return rows.where(~urls.excluded(F.col("link"))).select("page_id", "link").distinct()
 
@@ -38,7 +43,7 @@ def internal(links: DataFrame) -> DataFrame:
 def candidates(pages: DataFrame, links: DataFrame, limit: int = 5) -> DataFrame:
     """page_id, rank and link: guessed paths, then links about places on the same host, by priority and order, the first `limit`."""
     guessed = pages.select("page_id", F.posexplode(F.array(*(F.concat(urls.origin(F.col("url")), F.lit(p)) for p in urls.SEEDS))).alias("seq", "link"))
-    found = links.where(urls.is_location_link(F.col("href"), F.col("text"))).withColumn("link", resolve("url", "href"))
+    found = _targets(links.where(urls.is_location_link(F.col("href"), F.col("text")))).withColumn("link", F.col("target"))
     found = found.where(urls.host(F.col("link")) == urls.host(F.col("url"))).select("page_id", (F.col("node_id") + len(urls.SEEDS)).cast("int").alias("seq"), "link")
     both = guessed.unionByName(found).groupBy("page_id", "link").agg(F.min("seq").alias("seq"))
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy(urls.link_priority(F.col("link")), "seq"))

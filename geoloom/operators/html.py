@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -102,6 +103,28 @@ def nodes(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(html).alias("html")).mapInArrow(run, SCHEMA)
 
 
+def links(pages: DataFrame, html: str = "html") -> DataFrame:
+    """page_id, url, node_id, href, text and target (the absolute address, null if there is none) of the links of pages (page_id, url, html): one walk a page."""
+
+    def resolved(base: str | None, link: str) -> str | None:
+        try:
+            return None if base is None else urljoin(base, link)
+        except ValueError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+        for batch in batches:
+            rows = []
+            for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for i, n in enumerate(walk(page)):
+                    if n["tag"] == "a" and (href := n["attrs"].get("href")) is not None:
+                        rows.append((page_id, url, i, href, " ".join("".join(n["all"]).split()), resolved(url, href)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["page_id", "url", "node_id", "href", "text", "target"])
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col(html).alias("html")).mapInArrow(run, "page_id long, url string, node_id int, href string, text string, target string")
+
+
 def attr(name: str) -> Column:
     return F.element_at("attrs", name)
 

@@ -105,7 +105,7 @@ def lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
 
 def _line_array(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))), lambda x: x != "")
 
 
 def _marked(docs: DataFrame, k: int, mark) -> DataFrame:
@@ -127,7 +127,7 @@ def pattern_lines(docs: DataFrame, most: int | None = None) -> DataFrame:
 
 def label_blocks(docs: DataFrame) -> DataFrame:
     """doc_id, pos, label and text of up to four lines after a line with a label, if they look like an address."""
-    rows = _marked(docs, 4, lambda x: contains_any(F.lower(x), LABELS)).withColumn("block", F.array_join("next", ", "))
+    rows = _marked(docs, 4, lambda x: F.lower(x).rlike("|".join(LABELS))).withColumn("block", F.array_join("next", ", "))
     return rows.where(address.looks_like_block(F.col("block"))).select("doc_id", "pos", F.col("line").alias("label"), F.col("block").alias("text"))
 
 
@@ -137,7 +137,7 @@ def has_components(c: Column) -> Column:
 
 def keyword_blocks(docs: DataFrame) -> DataFrame:
     """doc_id, pos, name and address: lines with an office word and the four lines after, if the six from there look like an address. The last three lines begin no block."""
-    rows = _marked(docs, 5, lambda x: contains_any(F.lower(x), BLOCK_WORDS))
+    rows = _marked(docs, 5, lambda x: F.lower(x).rlike("|".join(BLOCK_WORDS)))
     block = F.array_join(F.concat(F.array("line"), F.col("next")), "\n")
     rows = rows.where((F.col("pos") <= F.col("last") - 3) & has_components(block))
     return rows.select("doc_id", "pos", F.col("line").alias("name"), F.array_join(F.slice("next", 1, 4), ", ").alias("address"))

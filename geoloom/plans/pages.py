@@ -53,8 +53,7 @@ _LINKS = f"SELECT DISTINCT page_id, regexp_replace({_ORIGIN} || href, '[?#].*$',
 
 
 def _links(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages")
-    return dom_extract.link_table(html.nodes(pages)).join(pages.select("page_id", "url"), "page_id")
+    return html.links(read(spark, sf_dir, "pages"))
 
 
 @_C.add(f"SELECT page_id, link FROM ({_LINKS}) q WHERE NOT {_EXCLUDED.replace('url', 'link')}")
