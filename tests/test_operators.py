@@ -159,3 +159,8 @@ def test_coordinates_of_keys_have_no_exponent(spark):
     none = F.lit(None).cast("string")
     key = spark.range(1).select(address.canonical_key(none, none, none, none, F.lit(0.0005), F.lit(-90.0)).alias("k")).first().k
     assert key == "coord_0.0005_-90.0"
+
+
+def test_percents_are_rounded_as_in_sql(spark):
+    rows = spark.createDataFrame([(23, 40), (1, 3), (0, 0), (40, 40)], "done bigint, total bigint")
+    assert [r.p for r in rows.select(jobs.percent(F.col("done"), F.col("total")).alias("p")).collect()] == [58, 33, 0, 100]
