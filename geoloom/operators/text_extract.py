@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import address
-from geoloom.functions.text import contains_any, matches_any
+from geoloom.functions.text import ascii_bounds, contains_any, matches_any
 
 #: Patterns of contacts, and words that mark addresses.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
@@ -122,7 +122,7 @@ def pattern_lines(docs: DataFrame, most: int | None = None) -> DataFrame:
     most: look at so many lines of a document only (the reference stops at 1,000); None: at all."""
     rows = lines(docs).where(F.length("line").between(20, 300))
     rows = rows if most is None else rows.where(F.col("pos") < most)
-    return rows.where(matches_any(F.col("line"), address.LINE_PATTERNS) & address.looks_like_address(F.col("line"))).select("doc_id", "pos", F.regexp_replace("line", r"\s+", " ").alias("street"))
+    return rows.where(matches_any(F.col("line"), map(ascii_bounds, address.LINE_PATTERNS)) & address.looks_like_address(F.col("line"))).select("doc_id", "pos", F.regexp_replace("line", r"\s+", " ").alias("street"))
 
 
 def label_blocks(docs: DataFrame) -> DataFrame:

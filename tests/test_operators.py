@@ -172,3 +172,13 @@ def test_page_nodes_of_odd_pages_equal_sql(spark, tmp_path):
     pages = [(1, "u", "<title> A &amp; &quot;b&quot; &amp</title><p>x</p>"), (2, "u", "<p>no title</p>"), (3, "u", ""), (4, "u", None), (5, "u", "plain"), (6, "u", "<title>a\nb</title>"), (7, "u", "<title>one</title><title>two</title>")]
     spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     same(spark, str(tmp_path), registry.queries()["page_nodes"], registry.oracle_sql()["page_nodes"])
+
+
+def test_address_lines_beside_other_letters_equal_sql(spark, tmp_path):
+    from geoloom.plans import registry
+
+    docs = [(1, "Schäen, beer in enver der überver schenver des 4236897737206539 enerßst. Einüber 87.85.112.41 und stchß."), (2, "Über 87 schenver 42368 enerßst. Stä ein"), (3, "Unter 12 main 12345 Straße ohne Wort"), (4, "77 Oak Avenue, Austin, TX 78701"), (5, "no number of a street in this line")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    query, sql = registry.queries()["doc_address_lines"], registry.oracle_sql()["doc_address_lines"]
+    assert {r.doc_id for r in query(spark, str(tmp_path)).collect()} >= {1, 4}
+    same(spark, str(tmp_path), query, sql)
